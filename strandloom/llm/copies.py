@@ -1,6 +1,6 @@
 """Records identical but for formatting, collapsed to one each with the number of copies.
 
-Canonical form, all in the JVM: case folding (upper, then lower), format characters dropped, and only letters and digits
+Canonical form, all in the JVM: case folding (upper, then lower, sharp s as ss), format characters dropped, and only letters and digits
 kept; a card (labelled fields) becomes its sorted ``label=value`` list. Texts with characters outside the common alphabets
 pass through NFKC first, in an Arrow function that gets null for every other row. The form is hashed to 128 bits with an
 independent 64-bit check and the length; all three are the grouping key, so texts whose hashes collide stay apart. Counts
@@ -32,27 +32,32 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")
 
 
-def canonical(text: Column, labels: Sequence[str]) -> Column:
-    """The form in which copies agree; empty where the text has no letter or digit, null for null.
+def with_canonical(df: DataFrame, text: str, labels: Sequence[str], out: str) -> DataFrame:
+    """``df`` with the form in which copies agree; empty where the text has no letter or digit, null for null.
 
     ``p:`` and ``c:`` tell prose from cards. A text is a card if nothing but punctuation comes before its first
     ``label:``; fields end where the next label follows a semicolon, bar, comma, brace or line end. A JSON object whose keys
-    are all labels is read as JSON, so escapes in it count as what they mean.
+    are all labels is read as JSON, so escapes in it count as what they mean. The steps are separate projections, so that
+    each regular expression runs once a row, and those for cards only on cards.
     """
-    composed = F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-ɏͰ-ӿ‐-›€]|[̀-ͯ]"), text)), text)
-    folded = F.translate(F.lower(F.upper(F.regexp_replace(composed, r"\p{Cf}+", ""))), "ς", "σ")
-    either = "|".join(x.lower().replace(" ", r"\s+") for x in labels)
-    parts = F.split(F.concat(F.lit(";"), folded), rf"[{{;|,\n\r][^\p{{L}}\p{{N}};|\n\r]*(?=(?:{either})[\s\"'*_]*[:=])")
-    fields = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    plain = F.transform(fields, lambda f: F.concat(_strip(F.regexp_extract(f, rf"^({either})", 1)), F.lit("="), _strip(F.regexp_replace(f, rf"^({either})[^:=]*[:=]", ""))))
-    entries = F.map_entries(F.from_json(F.when(folded.rlike(r"^\s*\{"), folded), "map<string,string>"))
-    known = F.lit([_squeeze(x) for x in labels])
-    is_json = (F.size(entries) > 0) & F.forall(entries, lambda e: F.array_contains(known, _strip(e["key"])))
-    as_json = F.transform(entries, lambda e: F.concat(_strip(e["key"]), F.lit("="), _strip(F.coalesce(e["value"], F.lit("")))))
-    is_card = (F.size(fields) > 0) & (_strip(F.get(parts, F.lit(0))) == "")
+    either = "|".join(x.lower().replace(" ", r"\s+") for x in labels) or r"(?!)"
+    raw = F.col(text)
+    df = df.withColumn("__t", F.coalesce(_nfkc(F.when(raw.rlike(r"[^\x00-\u024F\u0370-\u04FF\u2010-\u203A\u20AC]"), raw)), raw))
+    df = df.withColumn("__t", F.lower(F.upper(F.regexp_replace("__t", r"\p{Cf}+", ""))))
+    df = df.withColumn("__t", F.replace(F.translate("__t", "\u03c2", "\u03c3"), F.lit("\u00df"), F.lit("ss")))
+    t = F.col("__t")
+    df = df.withColumn("__kind", F.when(t.rlike(rf"^[^\p{{L}}\p{{N}}]*(?:{either})[^\p{{L}}\p{{N}}:=]*[:=]"), F.when(t.rlike(r"^\s*\{"), 2).otherwise(1)).otherwise(0))
+    df = df.withColumn("__json", F.map_entries(F.from_json(F.when(F.col("__kind") == 2, t), "map<string,string>")))
+    fields = F.split(F.concat(F.lit(";"), t), rf"[{{;|,\n\r][^\p{{L}}\p{{N}};|\n\r]*(?=(?:{either})[\s\"'*_]*[:=])")
+    df = df.withColumn("__card", F.when(F.col("__kind") > 0, F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0)))))
+    known = F.lit([_squeeze(x) for x in labels]) if labels else F.array().cast("array<string>")
+    is_json = (F.size("__json") > 0) & F.forall("__json", lambda e: F.array_contains(known, _strip(e["key"])))
+    as_json = F.transform("__json", lambda e: F.concat(_strip(e["key"]), F.lit("="), _strip(F.coalesce(e["value"], F.lit("")))))
+    as_card = F.transform("__card", lambda f: F.concat(_strip(F.regexp_extract(f, rf"^({either})", 1)), F.lit("="), _strip(F.regexp_replace(f, rf"^(?:{either})[^:=]*[:=]", ""))))
     card = lambda f: F.concat(F.lit("c:"), F.array_join(F.sort_array(f), ";"))
-    prose = _strip(folded)
-    return F.when(is_json, card(as_json)).when(is_card, card(plain)).when(prose == "", F.lit("")).otherwise(F.concat(F.lit("p:"), prose))
+    prose = _strip(t)
+    form = F.when(is_json, card(as_json)).when(F.size("__card") > 0, card(as_card)).otherwise(F.when(prose == "", F.lit("")).otherwise(F.concat(F.lit("p:"), prose)))
+    return df.withColumn(out, form).drop("__t", "__kind", "__json", "__card")
 
 
 def _squeeze(label: str) -> str:
@@ -61,7 +66,7 @@ def _squeeze(label: str) -> str:
 
 def copy_keys(df: DataFrame, key: str, text: str, labels: Sequence[str]) -> DataFrame:
     """(``key``, h128, check64, length) of every row that has a letter or digit; written to the shared folder."""
-    form = df.select(F.col(key), canonical(F.col(text), labels).alias("__form")).where(F.col("__form") != "")
+    form = with_canonical(df.select(key, text), text, labels, "__form").where(F.col("__form") != "")
     keyed = form.select(key, F.unhex(F.md5("__form")).alias("h128"), F.xxhash64("__form").alias("check64"), F.length("__form").alias("length"))
     return materialize(keyed, "copy-keys")
 
