@@ -60,8 +60,15 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds
     return columns, np.maximum(x, 0)
 
 
-def pack_sizes(size: np.ndarray, capacity: int, groups: int = 32, large: float = 0.2) -> np.ndarray:
-    """The container number of each of the items, whose sizes are between 1 and ``capacity``; a pure function of the order."""
+def pack_sizes(size: np.ndarray, capacity: int, groups: int = 32, large: tuple[float, ...] = (0.3, 0.4, 0.5)) -> np.ndarray:
+    """The container number of each of the items, whose sizes are between 1 and ``capacity``; a pure function of the order.
+
+    ``large`` are the shares of the capacity above which lengths are grouped; the packing with the fewest containers stays.
+    """
+    return min((_pack(size, capacity, groups, x) for x in large), key=lambda w: w.max(initial=-1))
+
+
+def _pack(size: np.ndarray, capacity: int, groups: int, large: float) -> np.ndarray:
     size = np.asarray(size, np.int64)
     where = np.full(len(size), -1, np.int64)
     order = np.argsort(-size, kind="stable")
