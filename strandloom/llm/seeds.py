@@ -1,0 +1,239 @@
+"""Short phrases of general knowledge that teach wordings which labelled excerpts may lack."""
+
+#: Insults, threats, degradation of groups and explicit sexual language.
+OFFENSIVE = """
+you fucking idiot
+you stupid piece of shit
+shut the fuck up you moron
+you worthless bastard nobody likes you
+you disgusting scumbag
+you lying sack of shit
+what a brainless imbecile
+you are a pathetic loser and a coward
+dirty whore
+you ugly bitch
+stupid slut
+go kill yourself
+i hope you die
+i hope you choke
+i hope you rot in hell
+nobody would miss you if you died
+you should be shot
+i will kill you
+i will find you and break your legs
+i will break every bone in your body
+i know where you live and i will hurt you
+you will end up dead
+you will end up at the bottom of the river
+watch your back because we are coming for you
+someone ought to beat you bloody
+you deserve to be beaten
+he has the brain of a worm
+you are dumber than a slug
+people like you ought to be locked away
+you are garbage
+you are scum
+you filthy pig
+you rat
+they are barely human
+they are subhuman
+they are animals and not people
+they breed like rats
+they breed like cockroaches
+that race is filth
+that race is a disease
+those people are a cancer
+these people are parasites
+they poison our children
+they poison our schools and wells
+send them all back where they came from
+throw them all out of the country
+keep them out of our schools
+keep them out of our hospitals
+do not rent to them and do not let them drink from our wells
+do not serve them and do not let them in
+they do not deserve to live among decent people
+no family of that race deserves to live among us
+that breed must go
+wipe them out
+exterminate them
+hang them all
+kill them all
+burn their houses down
+drive them into the sea
+they were made to be servants and slaves
+giving them the vote is treason
+their women should be sterilised
+whoever marries one of them is a traitor to his race
+i want to fuck you
+fuck me hard
+they fucked until dawn
+they fucked all night
+suck my cock
+sucking cock on camera
+amateurs sucking and fucking in close up
+riding his cock
+riding each other naked adults only
+hardcore porn clips
+free porn for adults only
+free preview of filthy threesome
+threesome gangbang orgy all night
+uncensored pussy dripping wet streamed live
+wet and shameless live cam girls
+tits and ass on live webcam
+dirty hookup tonight
+i want you naked on your knees
+he came in her mouth
+he licked her nipples
+she moaned as he penetrated her
+he penetrated her again and again
+she moaned naked on top of him
+she climbed on top of him naked
+she pulled down his trousers and took him in her mouth
+his erection pressed against her thighs
+she spread her legs for him
+her wet pussy
+all holes open
+masturbate for me
+ferme ta gueule connard
+espèce de sale connard
+pauvre abruti va crever
+tu n es qu un minable et un raté
+sale pute
+va te faire foutre
+va te faire enculer
+fils de pute
+j espère que tu vas crever
+je vais te tuer
+je vais te retrouver et te casser la gueule
+je vais te casser les dents
+tu mérites une raclée
+cette race est une maladie
+cette race est une vermine
+ils ne méritent pas de vivre parmi nous
+aucun d eux ne mérite de vivre
+dehors ces parasites
+il faut tous les expulser
+qu on les pende tous
+ces gens sont des animaux
+elle gémissait nue pendant qu il la pénétrait
+il la baisait toute la nuit
+viens me baiser
+elle suçait sa bite
+salope chaude et nue en direct
+halt die fresse du arschloch
+du dummes arschloch
+du widerlicher vollidiot
+du mieses schwein verrecke
+verpiss dich du hurensohn
+fick dich
+du bist abschaum
+ich bringe dich um
+ich finde dich und schlage dir die zähne ein
+ich schlage dich tot
+hoffentlich krepierst du
+du gehörst erschossen
+diese brut muss weg
+diese rasse ist abschaum
+sie verdienen es nicht unter uns zu leben
+diese leute sind parasiten
+man sollte sie alle aufhängen
+raus mit dem gesindel
+werft sie alle raus
+sie vermehren sich wie ratten
+sie stöhnte nackt während er in sie eindrang
+er fickte sie die ganze nacht
+geile schlampe will ficken
+sie lutschte seinen schwanz
+nackte geile frauen live
+cállate la puta boca
+eres un imbécil asqueroso
+eres un gilipollas de mierda
+hijo de puta
+vete a la mierda
+ojalá te mueras
+te voy a matar
+te voy a encontrar y te voy a partir la cara
+te voy a romper los dientes
+mereces una paliza
+esa raza es escoria
+esa raza es una plaga
+no merecen vivir entre nosotros
+ninguno de ellos merece vivir
+son unos parásitos
+hay que echarlos a todos
+se reproducen como ratas
+ella gemía desnuda mientras él la penetraba
+se la folló toda la noche
+quiero follar contigo
+chúpame la polla
+putas calientes desnudas en directo
+stai zitto stronzo
+sei un idiota schifoso
+figlio di puttana
+ti ammazzo
+ti spacco la faccia
+questa razza è feccia
+non meritano di vivere tra noi
+lei gemeva nuda mentre lui la penetrava
+troia calda vuole scopare
+"""
+
+#: The same words in reports, medicine, art, names, animals and statistics.
+HARMLESS = """
+answer no
+answer yes
+the answer is no
+the answer to the question is yes
+answer the name of the maker
+no answer was given
+the court fined the printer whose pamphlet had called them a plague
+the town apologised for the insult
+police recorded threats and hate crimes in the annual report
+the ministry reported that attacks on minorities fell
+the museum shows the nude and the torso in the second room
+the painter sold a nude to the gallery
+doctors advise a breast examination and a prostate test every year
+the clinic gives advice on sexual health and contraception
+the course teaches sexual education in schools
+the census gives age and sex of every resident
+the kennel lists bitches and puppies
+the cock crowed and the ass pulled the cart
+the tit and the booby are birds
+rats and cockroaches were found in the warehouse
+the vermin inspector visited the granary
+the parasite infects cattle and pigs
+cancer is a disease of the cells
+the mosquito is a plague in summer
+the reviewer called the novel stupid and filthy
+he played the idiot in the comedy
+the actor played a bastard prince and was applauded
+dead leaves and bastard feverfew were cut back in the garden
+kill the engine and hang the key on the hook
+hang the washing and burn the dead wood
+they were sent back to the harbour
+keep children out of the engine room
+do not let visitors drink from the well
+the killer whale was seen near the pier
+the film won a prize for its portrait of a prostitute
+the witness said that the man had threatened her
+the historian describes the persecution of the minority
+the law forbids insults and threats
+the weavers keep a festival in which strangers are fed without charge
+families of every origin live together in the quarter
+the statue shows a naked youth
+le tribunal a condamné un tract raciste
+le nu du peintre est exposé au musée
+la clinique conseille un examen des seins
+le rat et la vermine étaient dans le grenier
+das gericht verurteilte das beleidigende flugblatt
+der akt des malers hängt im museum
+die klinik rät zur vorsorge der brust
+ratten und ungeziefer fanden sich im speicher
+el tribunal condenó un panfleto racista
+el desnudo del pintor cuelga en el museo
+la clínica aconseja un examen de mama
+las ratas y la plaga estaban en el granero
+"""
+
+SEEDS = [(t, True) for t in OFFENSIVE.strip().splitlines()] + [(t, False) for t in HARMLESS.strip().splitlines()]
