@@ -26,7 +26,7 @@ BITS = 22
 #: Most labelled rows that the model is fitted on: those with the smallest hash of their text.
 TRAIN_ROWS = 50_000
 #: Most unlabelled texts that show the model ordinary language; training reads their first 20,000 characters, scoring all.
-CORPUS_ROWS = 1_000
+CORPUS_ROWS = 1_500
 
 _INVISIBLE = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]")
 _WRAP = re.compile(r"(?<=[^\W\d_])-\r?\n(?=[^\W\d_])")
@@ -108,7 +108,7 @@ class Model:
 class Ftrl:
     """FTRL-proximal with a rate per coordinate (McMahan et al. 2013)."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1):
+    def __init__(self, bits: int = BITS, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.1, l2: float = 0.1):
         self.bits, self.alpha, self.beta, self.l1, self.l2 = bits, alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
@@ -135,7 +135,7 @@ class Ftrl:
         return Model(used[keep], w[keep].astype(np.float32), float(self.weights(np.array([1 << self.bits]))[0]), self.bits)
 
 
-def fit(excerpts: Sequence[str], labels: Sequence[bool], *, unlabelled: Sequence[str] = (), passes: int = 6, seed: int = 1, below: float = 0.6, weight: float = 0.3, **params) -> Model:
+def fit(excerpts: Sequence[str], labels: Sequence[bool], *, unlabelled: Sequence[str] = (), passes: int = 6, seed: int = 1, below: float = 0.6, weight: float = 0.6, **params) -> Model:
     """A sentence model from labelled excerpts of which one sentence makes the label.
 
     First every sentence gets its excerpt's label; then, in each pass, a positive excerpt teaches its worst sentence as

@@ -77,6 +77,11 @@ riding each other naked adults only
 hardcore porn clips
 free porn for adults only
 free preview of filthy threesome
+f**k you
+you a*****e
+wet p***y live
+uncensored t**s streamed live
+the manners of a pig
 threesome gangbang orgy all night
 uncensored pussy dripping wet streamed live
 wet and shameless live cam girls
