@@ -2,11 +2,12 @@
 
 A unit vector goes through pseudo-rotations (three rounds of random signs and a fast Hadamard transform) to its nearest
 signed axis; the axes of several rotations together are its bucket in a table. Each vector is indexed once in every table
-and also visits the bucket that its second-nearest axis at the least certain rotation gives. In a bucket, products of
+and also visits the buckets that its second-nearest axes at the least certain rotations give. In a bucket, products of
 eight-bit codes pick each vector's best few; these pairs, from all tables, are reranked on the exact vectors.
 
 Hot buckets are split by further rotations, again and again while any holds more than ``bucket_rows``, and what even then
-stays together is compared in blocks, so no task gets an unbounded bucket and no pair is dropped. Identical vectors beyond
+stays together is compared in blocks, so no task gets an unbounded bucket and no pair is dropped. Codes err by less than
+0.001 in cosine: among neighbours closer to each other than that, any may come out. Identical vectors beyond
 what an answer can hold are classes: members answer with class mates, and a few of them stand for all in the index.
 """
 
@@ -196,7 +197,7 @@ def _best_in_bucket(code: np.ndarray, vid: np.ndarray, visit: np.ndarray, k: int
     out_a, out_b = [], []
     for s in range(0, len(x), 1024):
         p = x[s : s + 1024] @ x[home].T
-        p[vid[s : s + 1024][:, None] == vid[home][None]] = -2
+        p[vid[s : s + 1024][:, None] == vid[home][None]] = -9
         if p.shape[1] > k:
             floor = np.partition(p, p.shape[1] - k, axis=1)[:, p.shape[1] - k]
             ok = (p >= floor[:, None]) & (p >= least)
@@ -303,7 +304,7 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 def similar(
     df: DataFrame, key: str, vector_json: str, *, k: int = 5, size: int | None = None, min_cosine: float | None = None, newest: str | None = None,
-    depth: int = 3, tables: int = 4, visits: int = 1, bucket_rows: int = 4096, levels: int = 4, seed: int = 11, dim: int | None = None,
+    depth: int = 3, tables: int = 4, visits: int = 2, bucket_rows: int = 4096, levels: int = 4, seed: int = 11, dim: int | None = None,
 ) -> DataFrame:
     """(key, neighbour, cosine, rank): up to ``k`` other keys by descending cosine, ties by ascending key.
 
@@ -313,6 +314,7 @@ def similar(
     """
     spark = df.sparkSession
     vectors = unit_vectors(df, key, vector_json, size, newest)
+    release_shuffles(spark)
     if dim is None:
         dim = size
     if dim is None:
@@ -331,6 +333,7 @@ def similar(
         few = stand.groupBy("same").agg(F.sort_array(F.collect_list("key")).alias("first"))  # k + 1 at most
         rest = members.join(stand.select("vid"), "vid", "left_anti").join(few, "same")
         mates = rest.select("key", F.posexplode(F.slice("first", 1, k)).alias("pos", "neighbour")).select("key", "neighbour", F.lit(1.0).alias("cosine"), (F.col("pos") + 1).alias("rank"))
+    visits = min(visits, depth)
     least = -2.0 if min_cosine is None else min_cosine - 0.03  # more than the codes can err
     entries = indexed.select("vid", "vec").mapInArrow(_index(dim, depth, tables, visits, seed), _ENTRY)
     entries = _split_hot(entries, dim, bucket_rows, levels, seed)
