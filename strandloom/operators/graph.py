@@ -23,7 +23,7 @@ def hop_matches(q_plus: DataFrame, q_minus: DataFrame) -> DataFrame:
     Both sides: id, chunk_id, source, embedding. The source exclusion is part of the search, so no pool has to be widened.
     """
     side = lambda d: d.select("id", F.col("embedding").alias("vec"), F.col("source").alias("grp"))
-    best = block_top_k(side(q_plus), side(q_minus), 1)
+    best = block_top_k(side(q_plus), side(q_minus), 1)  # ids of both sides come back under names of their own
     b = best.join(q_plus.select(F.col("id").alias("qid"), F.col("chunk_id").alias("src_id")), "qid").join(q_minus.select(F.col("id").alias("tid"), F.col("chunk_id").alias("dst_id")), "tid")
     return b.where("src_id <> dst_id").select(F.col("qid").alias("qplus_id"), "src_id", F.col("tid").alias("qminus_id"), "dst_id", "score")
 
@@ -37,7 +37,8 @@ def merge_hops(matches: DataFrame) -> DataFrame:
 
 def reciprocal(matches: DataFrame, q_plus: DataFrame, q_minus: DataFrame) -> DataFrame:
     """Matches with ``reciprocal``: is this Q+ the most similar foreign Q+ (document embedding) of its Q-?"""
-    used = q_minus.join(matches.select(F.col("qminus_id").alias("id")).distinct(), "id", "left_semi")
+    wanted = matches.select(F.col("qminus_id").alias("wanted_id")).distinct()
+    used = q_minus.toDF(*q_minus.columns).select(F.col("id").alias("wanted_id"), "embedding", "source").join(wanted, "wanted_id", "left_semi").withColumnRenamed("wanted_id", "id")
     side = lambda d: d.select("id", F.col("embedding").alias("vec"), F.col("source").alias("grp"))
     back = block_top_k(side(used), side(q_plus), 1).select(F.col("qid").alias("qminus_id"), F.col("tid").alias("back_id"))
     return matches.join(back, "qminus_id", "left").withColumn("reciprocal", F.coalesce(F.col("back_id") == F.col("qplus_id"), F.lit(False))).drop("back_id")
