@@ -11,6 +11,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,9 +63,16 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffle files of finished jobs now rather than at the next chance collection."""
+    """Let the context cleaner drop the shuffle files of finished jobs now rather than at the next chance collection.
+
+    The plans of finished jobs are held by Python's side, by events still in the queue, and by the JVM, in this order.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm_context = spark.sparkContext._jsc.sc()
+    for _ in range(2):
+        jvm_context.listenerBus().waitUntilEmpty()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
