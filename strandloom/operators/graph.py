@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions.vectors import block_top_k, rank_within
+from strandloom.session import materialize
 
 DECAY = 0.5
 
@@ -72,12 +73,13 @@ def expand(starts: DataFrame, edges: DataFrame, decay: float = DECAY) -> DataFra
 def neighbourhoods(starts: DataFrame, edges: DataFrame, depth: int = 4, decay: float = DECAY) -> DataFrame:
     """(query_id, id, representation_score, depth): nested neighbourhoods; a passage is scored once, at its first distance,
     with the decayed best score among its predecessors at the distance before. ``edges``: src_id, dst_id."""
-    level = starts.select("query_id", "id", "representation_score", F.lit(0).alias("depth"))
+    edges = materialize(edges.select("src_id", "dst_id"), "neighbour-edges")  # every level reads them
+    level = materialize(starts.select("query_id", "id", "representation_score", F.lit(0).alias("depth")), "neighbours")
     seen = level
     for d in range(1, depth + 1):
         step = level.select("query_id", F.col("id").alias("src_id"), "representation_score").join(edges, "src_id")
         step = step.groupBy("query_id", F.col("dst_id").alias("id")).agg((F.max("representation_score") * decay).alias("representation_score"))
-        level = step.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("depth", F.lit(d))
+        level = materialize(step.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("depth", F.lit(d)), "neighbours")
         seen = seen.unionByName(level)
     return seen
 

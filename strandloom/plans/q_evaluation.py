@@ -10,7 +10,7 @@ from strandloom.operators import coverage, graph, metrics, reports, stats, store
 from strandloom.plans.catalogue import register
 from strandloom.plans.q_index import edges, starts
 from strandloom.plans.q_retrieval import _BM25, _CAND, _ITEMS, candidates, items, searched
-from strandloom.session import table
+from strandloom.session import materialize, table
 from strandloom.sources import corpus
 
 _KEYS = ["dataset", "method", "query_id"]
@@ -249,6 +249,7 @@ def pools(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     z = lambda x: F.coalesce(x, F.lit(0.0)).desc()
     r = rank_within(c, ["query_id"], [z("similarity_score"), F.col("id").asc()], None, "rs")
     r = rank_within(r, ["query_id"], [z("representation_score"), F.col("id").asc()], None, "rr")
+    r = materialize(r.select("query_id", "id", "channel", "rs", "rr"), "pools")  # five readers
     ids = lambda cond: r.where(cond).select("query_id", "id")
     hits = r.select("query_id", "id", (F.conv(F.substring(F.md5("id"), 1, 2), 16, 10).cast("int") % 7).alias("unit"))
     return r, ids("rs <= 3"), ids("rr <= 20 or rs <= 3"), ids("rs <= 20"), hits

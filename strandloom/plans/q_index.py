@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.vectors import block_top_k, rank_within
 from strandloom.operators import graph, retrieval, stats
 from strandloom.plans.catalogue import register
-from strandloom.session import table
+from strandloom.session import materialize, table
 from strandloom.sources import corpus
 
 WS = r"[\s\x0b\x85\p{Z}]"
@@ -113,7 +113,7 @@ def starts(spark: SparkSession, sf: str) -> DataFrame:
     """Every fiftieth vector asks; its five nearest bodies start."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.lit(None).cast("int").alias("grp"))
     top = block_top_k(e.where("id % 50 = 0"), e.where("id % 3 = 0"), 5)
-    return top.select(F.col("qid").alias("query_id"), F.floor(F.col("tid") / 3).cast("long").alias("id"), (1.0 / F.col("rank")).alias("representation_score"))
+    return materialize(top.select(F.col("qid").alias("query_id"), F.floor(F.col("tid") / 3).cast("long").alias("id"), (1.0 / F.col("rank")).alias("representation_score")), "starts")
 
 
 _START = """
@@ -147,7 +147,7 @@ def edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     """(chunks, NEXT, HOP) of the graph that the embeddings stand for."""
     e = table(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.floor(F.col("vec_id") / 3).cast("long").alias("id"), F.col("label").alias("source"))
     c = rank_within(e, ["source"], [F.col("id").asc()]).select("id", "source", (F.col("rank") - 1).alias("sent_id"), F.lit("x").alias("text"))
-    return c, graph.next_edges(c), graph.merge_hops(graph.hop_matches(*questions(spark, sf)))
+    return c, graph.next_edges(c), materialize(graph.merge_hops(graph.hop_matches(*questions(spark, sf))), "hops")
 
 
 _EDGES = _HOP + """,

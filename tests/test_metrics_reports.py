@@ -175,6 +175,10 @@ def test_bm25_and_channels(spark):
     q = spark.createDataFrame([("a", "Red, clock!"), ("b", "none"), ("c", None)], "q string, x string")
     r = fulltext.bm25(d, "k", "t", q, "q", "x", 5).orderBy("rank").collect()
     assert [(x.query_id, x.doc) for x in r] == [("a", 1), ("a", 2)]
+    plan = fulltext.bm25_relational(d, "k", "t", q, "q", "x", 5).orderBy("rank").collect()
+    assert [(x.query_id, x.doc, x.score, x["rank"]) for x in plan] == [(x.query_id, x.doc, x.score, x["rank"]) for x in r]
+    assert fulltext.bm25(d, "k", "t", q.where("q = 'c'"), "q", "x", 5).count() == 0
+    assert fulltext.bm25(d.limit(0), "k", "t", q, "q", "x", 5).count() == 0
     c = spark.createDataFrame([("q", "x", "body"), ("q", "x", "q_plus"), ("q", "y", "next")], "query_id string, id string, channel string")
     n = {x.combination: x.n for x in coverage.channel_combinations(c).collect()}
     assert n["body+q_plus"] == 1 and sum(n.values()) == 1 and len(n) == 7
