@@ -9,6 +9,7 @@ as its worst sentence, so length does not dilute it. Hashing, lookup and sums ru
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
@@ -86,8 +87,12 @@ def features(parts: Sequence[str], bits: int = BITS) -> tuple[np.ndarray, np.nda
     return key >> bits, key & ((1 << bits) - 1)
 
 
-def _slots(sentence: str, bits: int) -> np.ndarray:
-    return features([sentence], bits)[1]
+def _split(parts: Sequence[str], bits: int) -> list[np.ndarray]:
+    """The slots of each part."""
+    if not parts:
+        return []
+    part, slot = features(parts, bits)
+    return np.split(slot, np.searchsorted(part, np.arange(1, len(parts))))
 
 
 @dataclass
@@ -122,11 +127,14 @@ class Ftrl:
 
     def step(self, slots: np.ndarray, y: float, weight: float = 1.0) -> None:
         i = np.append(slots, 1 << self.bits)
-        w = self.weights(i)
-        g = weight * (1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y)
-        s = (np.sqrt(self.n[i] + g * g) - np.sqrt(self.n[i])) / self.alpha
-        self.z[i] += g - s * w
-        self.n[i] += g * g
+        z, n = self.z[i], self.n[i]
+        root = np.sqrt(n)
+        w = np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + root) / self.alpha + self.l2))
+        g = weight * (1 / (1 + math.exp(-min(30.0, max(-30.0, w.sum())))) - y)
+        if abs(g) < 1e-4:  # nothing to learn
+            return
+        self.z[i] = z + g - (np.sqrt(n + g * g) - root) / self.alpha * w
+        self.n[i] = n + g * g
 
     def model(self) -> Model:
         used = np.flatnonzero(self.n[:-1])
@@ -144,13 +152,14 @@ def fit(excerpts: Sequence[str], labels: Sequence[bool], *, unlabelled: Sequence
     the model the ordinary language of the corpus.
     """
     f = Ftrl(**params)
-    bags = [([_slots(s, f.bits) for s in sentences(t)], bool(y), 1.0) for t, y in zip(excerpts, labels)]
-    plain = [_slots(s, f.bits) for t in unlabelled for s in sentences(t)]
+    bags = [(_split(sentences(t), f.bits), bool(y), 1.0) for t, y in zip(excerpts, labels)]
+    plain = _split([s for t in unlabelled for s in sentences(t)], f.bits)
     rng = np.random.default_rng(seed)
     for k in range(passes):
         if k == passes - 2 and plain:
-            at = -np.log(1 / below - 1)
-            bags += [([slots], False, weight) for slots in plain if f.margin(slots) < at]
+            at, w = -np.log(1 / below - 1), f.weights(np.arange(1 << f.bits))
+            bias = f.margin(np.zeros(0, np.int64))
+            bags += [([slots], False, weight) for slots in plain if w[slots].sum() + bias < at]
         for j in rng.permutation(len(bags)):
             bag, y, g = bags[j]
             worst = max(range(len(bag)), key=lambda q: f.margin(bag[q]), default=None) if y and k else None
