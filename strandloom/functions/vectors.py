@@ -92,3 +92,37 @@ def rank_within(df: DataFrame, by: list[str], order: list[Column], k: int | None
 
     out = df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
     return out if k is None else out.where(F.col(name) <= k)
+
+
+#: A group of more rows than this is ranked in pieces rather than in one task.
+HOT_ROWS = 5_000_000
+
+
+def rank_whole(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The 1-based place of every row in its group, whatever the size of the group; ``order`` must be total.
+
+    Groups up to ``hot_rows`` go through a window. Larger ones are range-partitioned by group and order, so that one group
+    spreads over many tasks; a row's place is its place in its partition's part of the group, plus the sizes of the parts
+    before. The list of hot groups is short: each has more than ``hot_rows`` rows.
+    """
+    from pyspark.sql import Window as W
+
+    from strandloom.session import materialize
+
+    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).drop("__n")
+    hot = materialize(hot, "hot-groups")
+    if hot.isEmpty():
+        return rank_within(df, by, order, None, name)
+    same = [F.col(c).eqNullSafe(F.col(f"__h_{c}")) for c in by]
+    flagged = df.join(hot.select(*(F.col(c).alias(f"__h_{c}") for c in by), F.lit(True).alias("__hot")), same, "left").drop(*(f"__h_{c}" for c in by))
+    rest = rank_within(flagged.where("__hot is null").drop("__hot"), by, order, None, name)
+    keys = [F.col(c) for c in by]
+    part = flagged.where("__hot").drop("__hot").repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    part = materialize(part.withColumn("__part", F.spark_partition_id()).withColumn("__pos", F.monotonically_increasing_id()), "ranked-parts")
+    sizes = part.groupBy("__part", *by).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("__before", before)
+    sizes = sizes.select(F.col("__part").alias("__s_part"), *(F.col(c).alias(f"__s_{c}") for c in by), "__first", "__before")
+    on = [F.col("__part") == F.col("__s_part"), *(F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in by)]
+    placed = part.join(sizes, on).select(*df.columns, (F.col("__pos") - F.col("__first") + F.col("__before") + 1).cast("int").alias(name))
+    return rest.unionByName(placed)

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.functions.vectors import block_top_k, rank_within
+from strandloom.functions.vectors import HOT_ROWS, block_top_k, rank_whole, rank_within
 from strandloom.session import materialize
 
 DECAY = 0.5
 
 
-def next_edges(chunks: DataFrame) -> DataFrame:
-    """(src_id, dst_id) of neighbouring chunks of a source."""
-    w = W.partitionBy("source").orderBy("sent_id", "id")
-    return chunks.select(F.col("id").alias("src_id"), F.lead("id").over(w).alias("dst_id")).where("dst_id is not null")
+def next_edges(chunks: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(src_id, dst_id) of neighbouring chunks of a source; a source of any size is ranked in pieces and joined by place."""
+    c = rank_whole(chunks.select("source", "sent_id", "id"), ["source"], [F.col("sent_id").asc(), F.col("id").asc()], "place", hot_rows)
+    a = c.select(F.col("source").alias("s"), F.col("place").alias("p"), F.col("id").alias("src_id"))
+    b = c.select(F.col("source").alias("t"), (F.col("place") - 1).alias("q"), F.col("id").alias("dst_id"))
+    return a.join(b, F.col("s").eqNullSafe(F.col("t")) & (F.col("p") == F.col("q"))).select("src_id", "dst_id")
 
 
 def hop_matches(q_plus: DataFrame, q_minus: DataFrame) -> DataFrame:

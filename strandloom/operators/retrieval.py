@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions.text import node_identity
-from strandloom.functions.vectors import bridged, cosine, rank_within
+from strandloom.functions.vectors import HOT_ROWS, bridged, cosine, rank_whole, rank_within
 
 K = 12
 #: Children searched for each owner wanted: three questions a passage, the body itself.
@@ -29,7 +29,7 @@ def hybrid(hits: DataFrame, limit: int) -> DataFrame:
 
     ``hits``: query_id, channel, type, id, score, matched (array). Ranks within a modality: score down, id up.
     """
-    r = rank_within(hits, ["query_id", "channel", "type"], [F.col("score").desc(), F.col("id").asc()])
+    r = rank_whole(hits, ["query_id", "channel", "type"], [F.col("score").desc(), F.col("id").asc()])
     g = r.groupBy("query_id", "channel", "id").agg(
         F.sum(reciprocal(F.col("rank"))).alias("rrf"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("matched")
     )
@@ -54,15 +54,15 @@ def score_bodies(candidates: DataFrame, queries: DataFrame, semantics: str = "bo
     return c.withColumn("final_score", F.col("similarity_score")).drop("__q")
 
 
-def rank_fusion(candidates: DataFrame, k: int | None = K, *, weight: float | None = None, variant: str = "fusion", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+def rank_fusion(candidates: DataFrame, k: int | None = K, *, weight: float | None = None, variant: str = "fusion", by: tuple[str, ...] = ("query_id",), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Candidates with semantic_rank, representation_rank, rank_fusion_score and rank.
 
     The score is 1/semantic rank plus, for a positive representation score, 1/its rank. Order: fusion, final, id, all down.
     ``weight`` w gives ``w * first + (1-w) * second``; ``representation_only`` and ``similarity_only`` order by one rank.
     """
     final, rep = F.coalesce("final_score", F.lit(0.0)), F.coalesce("representation_score", F.lit(0.0))
-    c = rank_within(candidates, list(by), [final.desc(), F.col("id").desc()], None, "semantic_rank")
-    c = rank_within(c, list(by), [rep.desc(), F.col("id").desc()], None, "representation_rank")
+    c = rank_whole(candidates, list(by), [final.desc(), F.col("id").desc()], "semantic_rank", hot_rows)
+    c = rank_whole(c, list(by), [rep.desc(), F.col("id").desc()], "representation_rank", hot_rows)
     sem = reciprocal(F.col("semantic_rank"))
     inh = F.when(rep > 0, reciprocal(F.col("representation_rank"))).otherwise(0.0)
     c = c.withColumn("rank_fusion_score", sem + inh if weight is None else weight * sem + (1 - weight) * inh)

@@ -227,3 +227,23 @@ def test_files_metadata_and_articles(spark, tmp_path):
     d = spark.createDataFrame([(1, "a"), (2, None)], "k int, t string")
     assert corpus.table_digest(d, "k", "t").first() == corpus.table_digest(d.orderBy(F.desc("k")), "k", "t").first()
     assert corpus.table_digest(d.limit(0), "k", "t").first().rows == 0
+
+
+def test_fuzzy_recall_against_plain_python(spark):
+    rng = random.Random(7)
+    words = ["ulm", "the", "clock", "tower", "quay", "a", "1901"]
+    make = lambda n: " ".join(rng.choices(words, k=n))
+    facts = {f"q{i}": [make(rng.randint(1, 6)) for _ in range(rng.randint(1, 3))] for i in range(40)}
+    found = [(q, r, make(rng.randint(0, 5))) for q in facts for r in range(1, 4)]
+
+    def norm(s):
+        return " ".join(re.sub(r"\b(a|an|the)\b", " ", s.lower()).split())
+
+    def near(f, c):
+        f, c = norm(f), norm(c)
+        return bool(f and c) and (f in c or c in f or len(set(f.split()) & set(c.split())) / len(set(f.split())) >= 0.6)
+
+    want = {q: sum(any(near(f, t) for p, r, t in found if p == q and r <= 2) for f in fs) / len(fs) for q, fs in facts.items()}
+    g = spark.createDataFrame(list(facts.items()), "query_id string, facts array<string>")
+    t = spark.createDataFrame(found, "query_id string, rank int, text string")
+    assert {r.query_id: r.evidence_fact_recall for r in metrics.fuzzy_recall(t, g, 2).collect()} == pytest.approx(want)

@@ -155,3 +155,17 @@ def test_streaming_commit_resumes(spark, tmp_path):
         checkpoints.commit(checkpoints.follow(spark, str(src), schema, 1), "query_id", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {(r.query_id, r.answer) for r in checkpoints.committed(spark, str(tmp_path / "out"), "query_id").collect()}
     assert got == {("a", "1"), ("b", "2")}
+
+
+def test_hot_groups_are_ranked_in_pieces(spark):
+    from strandloom.functions.vectors import rank_whole, rank_within
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "a", None]), rng.randrange(50), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, s int, i long").repartition(5)
+    order = [F.col("s").desc(), F.col("i").asc()]
+    want = {tuple(r) for r in rank_within(df, ["g"], order).collect()}
+    assert {tuple(r) for r in rank_whole(df, ["g"], order, hot_rows=600).collect()} == want
+    assert {tuple(r) for r in rank_whole(df, ["g"], order, hot_rows=1).collect()} == want
+    chunks = df.select(F.col("g").alias("source"), F.col("s").alias("sent_id"), F.col("i").alias("id"))
+    assert {tuple(r) for r in graph.next_edges(chunks, 600).collect()} == {tuple(r) for r in graph.next_edges(chunks).collect()}
