@@ -50,10 +50,10 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 _REFUSAL = re.compile(
     r"insufficient|not enough (?:information|context|evidence)|no (?:information|answer|evidence|mention)\b|(?:does|do|did) not (?:contain|mention|provide|say|state|give|include|specify|answer|allow|permit)|doesn't|don't (?:know|have)|do not know"
-    r"|can(?:not|'t|’t| not) (?:be (?:determined|answered|established|found|fully)|answer|help|determine|say|tell|respond|discuss|provide|assist|share|comment|find)|(?:unable|not able) to|(?:must|have to) decline|decline to|not (?:mentioned|specified|stated|given|provided|available)|outside what|beyond what|silent on|nothing in the (?:passage|context|text|material)|language model|no access to|(?:could|would) not (?:find|determine)|unanswerable|unknown"
-    r"|ne (?:contient|contiennent|mentionne|mentionnent|permet|permettent|précise|dit|sait|sais|peux|peut|donne)|n'(?:apporte|apportent|ai pas|est pas (?:possible|mentionné|précisé|indiqué))|n’(?:apporte|ai)|je ne (?:sais|peux)|aucun(?:e)? (?:information|réponse|passage|des passages)|information(?:s)? (?:insuffisante|manquante)|impossible de|dépasse ce dont|désolé|pas pu|contexte insuffisant"
-    r"|(?:nicht|keine|kein|schweigen|unzureichend|leider).{0,40}(?:antwort|information|angabe|beantwort|helfen|bekannt|ermitteln|sagen|genannt|erwähnt|hervor|finden|bestimmen|weiß)|weiß ich nicht|(?:antwort|information|angabe|hinweis)\w* .{0,20}(?:nicht|keine|fehl)|schweigen|gibt darauf keine|geht .{0,40}nicht hervor|konnten .{0,60}nicht|unzureichend|keine antwort"
-    r"|no (?:contiene|contienen|menciona|mencionan|dice|dicen|permite|permiten|puedo|sé|se sabe|se puede|se indica|hay|tengo|pudieron|da|dan)|ningun[oa]? .{0,30}(?:respuesta|información|pasaje)|información insuficiente|insuficiente|lo siento|supera lo que|ninguno de los"
+    r"|can(?:not|'t|’t| not) (?:be (?:determined|answered|established|found|fully)|answer|help|determine|say|tell|respond|discuss|provide|assist|share|comment|find)|(?:unable|not able) to|(?:must|have to) decline|decline to|not (?:mentioned|specified|stated|given|provided|available)|outside what|beyond what|silent on|nothing in the (?:passage|context|text|material)|language model|no access to|(?:could|would) not (?:find|determine)|unanswerable|unknown|rather not|prefer not|not speculate|not in a position|no way to (?:know|tell|say)|impossible to|will not (?:answer|discuss)|won't (?:answer|be able)|not allowed to|lacks? (?:the|any) (?:information|detail|answer)"
+    r"|ne (?:contient|contiennent|mentionne|mentionnent|permet|permettent|précise|dit|sait|sais|peux|peut|donne)|n'(?:apporte|apportent|ai pas|est pas (?:possible|mentionné|précisé|indiqué))|n’(?:apporte|ai)|je ne (?:sais|peux)|aucun(?:e)? (?:information|réponse|passage|des passages)|information(?:s)? (?:insuffisante|manquante)|impossible de|dépasse ce dont|désolé|pas pu|contexte insuffisant|je n['’]ai pas|pas en mesure|ne figure|ne suis pas|il n['’]y a (?:pas|aucun)|préfère ne pas|sans réponse"
+    r"|(?:nicht|keine|kein|schweigen|unzureichend|leider).{0,40}(?:antwort|information|angabe|beantwort|helfen|bekannt|ermitteln|sagen|genannt|erwähnt|hervor|finden|bestimmen|weiß)|weiß ich nicht|(?:antwort|information|angabe|hinweis)\w* .{0,20}(?:nicht|keine|fehl)|schweigen|gibt darauf keine|geht .{0,40}nicht hervor|konnten .{0,60}nicht|unzureichend|keine antwort|nicht möglich|unmöglich|lieber nicht|darf ich nicht|ist unbekannt"
+    r"|no (?:contiene|contienen|menciona|mencionan|dice|dicen|permite|permiten|puedo|sé|se sabe|se puede|se indica|hay|tengo|pudieron|da|dan)|ningun[oa]? .{0,30}(?:respuesta|información|pasaje)|información insuficiente|insuficiente|lo siento|supera lo que|ninguno de los|no dispongo|no es posible|no consta|no figura|no est[áo]|desconozco|prefiero no|imposible|sin (?:datos|información)"
     r"|non (?:contiene|so|posso|è possibile|menziona)|informazioni insufficienti|не (?:содерж|знаю|могу|упомина)|недостаточно",
     re.I,
 )
@@ -182,7 +182,10 @@ def votes(query: str, context: str, answer: str | None) -> dict[str, list[int]]:
     alike = len(qg & bg) / max(1, len(bg)) if bk else 0.0
     again = len(qg & bg) / max(1, len(qg)) if bk else 0.0
     # What the answer adds to the question: a name of the context, a number, a yes or no.
-    adds = any(w.casefold() not in qs and (w[0].isdigit() or w.casefold() in yes | NO_WORDS or (w[0].isupper() and w.casefold() in cs and w.casefold() not in _BY_WORD)) for w in _WORD.findall(re.sub(r"^\s*\d+[.)]\s+", "", bare)))
+    said = _WORD.findall(re.sub(r"^\s*\d+[.)]\s+", "", bare))
+    fresh = [w.casefold() not in qs and w[0].isupper() and w.casefold() not in _BY_WORD for w in said]
+    adds = any(w.casefold() not in qs and (w[0].isdigit() or w.casefold() in yes | NO_WORDS or (f and w.casefold() in cs)) for w, f in zip(said, fresh))
+    adds = adds or any(a and b for a, b in zip(fresh, fresh[1:]))  # a name of two words, wherever it is from
     tail = text.rstrip().rstrip("»”\"').").rstrip()
     copied = [
         YES if cover >= 0.7 and inside >= 0.7 and again >= 0.5 and not adds else NO,
