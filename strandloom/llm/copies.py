@@ -66,9 +66,9 @@ def _squeeze(label: str) -> str:
 
 def copy_keys(df: DataFrame, key: str, text: str, labels: Sequence[str]) -> DataFrame:
     """(``key``, h128, check64, length) of every row that has a letter or digit; written to the shared folder."""
-    form = with_canonical(df.select(key, text), text, labels, "__form").where(F.col("__form") != "")
+    form = with_canonical(df.select(key, text), text, labels, "__form").withColumn("__form", F.nullif("__form", F.lit("")))
     keyed = form.select(key, F.unhex(F.md5("__form")).alias("h128"), F.xxhash64("__form").alias("check64"), F.length("__form").alias("length"))
-    return materialize(keyed, "copy-keys")
+    return materialize(keyed, "copy-keys").where("h128 is not null")  # a filter before the write would compute every form twice
 
 
 def copy_sets(keyed: DataFrame, key: str) -> DataFrame:
