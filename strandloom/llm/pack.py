@@ -138,9 +138,10 @@ def pack(items: DataFrame, key: str, size: Column, capacity: int = 512, *, bucke
     should be unique; repeated rows are items of their own. An item above the capacity has full pieces and one remainder.
     The number of buckets follows the number of items. Extra columns are ignored; an empty table gives an empty table.
     """
-    sized = items.select(F.col(key).cast("long").alias("key"), size.cast("long").alias("n")).where("n > 0")
-    starts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long"))
-    pieces = sized.select("key", "n", F.posexplode(starts).alias("piece", "token_start"))
+    sized = items.select(F.col(key).cast("long").alias("key"), size.cast("long").alias("n"))
+    starts = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long")))
+    # Outer, and filtered after: any filter on the size would be pushed down and count every text's tokens again.
+    pieces = sized.select("key", "n", F.posexplode_outer(starts).alias("piece", "token_start")).where("piece is not null")
     pieces = pieces.select("key", "piece", "token_start", F.least(F.lit(capacity), F.col("n") - F.col("token_start")).cast("int").alias("tokens"))
     buckets = max(1, -(-items.count() // bucket_items))
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("key", "piece", "tokens"), F.lit(buckets)))
