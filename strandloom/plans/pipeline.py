@@ -19,7 +19,7 @@ Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 @dataclass
 class Options:
-    """What the reference's enumerated policies switch between."""
+    """What the policies of a run switch between."""
 
     window: int = 6
     k: int = 12

@@ -125,7 +125,7 @@ def abstain_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("answer_agreement", f"""
 with {_RESP}, i as (select dataset, method, query_id, min(original_query_id) o from synthesis_inputs group by all), a as (select dataset, o, method, min({_norm('answer')}) x from resp join i using (dataset, method, query_id) where answer is not null group by dataset, o, method),
-p as (select dataset, o, max(case when method = 'prehop' then x end) p, max(case when method = 'naive' then x end) r from a group by dataset, o),
+p as (select dataset, o, max(case when method <> 'naive' then x end) p, max(case when method = 'naive' then x end) r from a group by dataset, o),
 t as (select *, list_filter(string_split(p, ' '), lambda w: w <> '') tp, list_filter(string_split(r, ' '), lambda w: w <> '') tr from p where p is not null and r is not null),
 c as (select *, list_sum(list_transform(list_distinct(tp), lambda w: least(len(list_filter(tp, lambda y: y = w)), len(list_filter(tr, lambda y: y = w))))) c from t)
 select dataset, o as original_query_id, case when p = r then 1.0 else 0.0 end as em, round(case when p = r then 1 when coalesce(c, 0) = 0 then 0 else 2.0 * c / (len(tp) + len(tr)) end, 6) as f1 from c""")
@@ -133,8 +133,9 @@ def answer_agreement(spark: SparkSession, sf: str) -> DataFrame:
     """How far the two methods' answers to one original question agree: exact match and word F1."""
     origin = table(spark, sf, "synthesis_inputs").groupBy(*_KEYS).agg(F.min("original_query_id").alias("original_query_id"))
     a = responses(spark, sf).where("answer is not null").join(origin, _KEYS).groupBy("dataset", "original_query_id", "method").agg(F.min(normalise_answer(F.col("answer"))).alias("x"))
-    side = lambda m: F.max(F.when(F.col("method") == m, F.col("x")))
-    p = a.groupBy("dataset", "original_query_id").agg(side("prehop").alias("p"), side("naive").alias("r")).where("p is not null and r is not null")
+    dense = F.col("method") == "naive"
+    side = lambda c: F.max(F.when(c, F.col("x")))
+    p = a.groupBy("dataset", "original_query_id").agg(side(~dense).alias("p"), side(dense).alias("r")).where("p is not null and r is not null")
     return _round(metrics.answer_scores(p, "p", "r").select("dataset", "original_query_id", "em", "f1"), "f1")
 
 
