@@ -14,6 +14,7 @@ import tempfile
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
@@ -70,7 +71,10 @@ def release_shuffles(spark: SparkSession) -> None:
     gc.collect()
     jvm_context = spark.sparkContext._jsc.sc()
     for _ in range(2):
-        jvm_context.listenerBus().waitUntilEmpty()
+        try:
+            jvm_context.listenerBus().waitUntilEmpty()
+        except Py4JJavaError:  # still busy after ten seconds: then the files stay a little longer
+            pass
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
 
