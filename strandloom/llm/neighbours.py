@@ -5,8 +5,9 @@ signed axis; the axes of several rotations together are its bucket in a table. E
 and also visits the buckets that its second-nearest axes at the least certain rotations give. In a bucket, products of
 eight-bit codes pick each vector's best few; these pairs, from all tables, are reranked on the exact vectors.
 
-Hot buckets are split by further rotations, again and again while any holds more than ``bucket_rows``, and what even then
-stays together is compared in blocks, so no task gets an unbounded bucket and no pair is dropped. Codes err by less than
+In buckets above ``bucket_rows`` every entry is compared with every resident: blocks of entries are held while all residents
+stream past in Arrow batches, so no task holds an unbounded bucket and no pair is dropped; this is quadratic in such a
+bucket. Codes err by less than
 0.001 in cosine: among neighbours closer to each other than that, any may come out. Identical vectors beyond
 what an answer can hold are classes: members answer with class mates, and a few of them stand for all in the index.
 """
@@ -14,7 +15,7 @@ what an answer can hold are classes: members answer with class mates, and a few
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -173,20 +174,6 @@ def _index(dim: int, depth: int, tables: int, visits: int, seed: int):
     return run
 
 
-def _deeper(dim: int, level: int, seed: int):
-    """Entries with their buckets extended by one further rotation."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rot = Rotations(dim, 1, seed + 1000 + level)
-        for b in batches:
-            if b.num_rows:
-                first, _, _ = rot.axes(_unit(_matrix(b.column(3), np.int8)), 0)
-                key = _extend(b.column(0).to_numpy().view(np.uint64), first)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns[1:]], names=_ENTRY.names)
-
-    return run
-
-
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -265,41 +252,94 @@ def _pairs(k: int, least: float, small: int = 48):
     return run
 
 
-def _split_hot(entries: DataFrame, dim: int, bucket_rows: int, levels: int, seed: int) -> DataFrame:
-    """Entries whose buckets hold at most ``bucket_rows``: deeper buckets first, then blocks of what stays together."""
-    done: list[DataFrame] = []
-    for level in range(levels + 1):
-        hot = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
-        hot = materialize(hot, "hot-buckets")
-        n = hot.limit(HOT_BROADCAST + 1).count()
-        if not n:
-            return _union([*done, entries.select(*_ENTRY.names)])
-        side = F.broadcast(hot) if n <= HOT_BROADCAST else hot
-        done.append(entries.join(side.select("bucket"), "bucket", "left_anti").select(*_ENTRY.names))
-        if level < levels:
-            within = entries.join(side.select("bucket"), "bucket", "left_semi").select(*_ENTRY.names)
-            entries = materialize(within.mapInArrow(_deeper(dim, level, seed), _ENTRY), "hot-entries")
-            continue
-        # Residents go to a block and every entry meets every block, in cells of their own.
-        within = entries.join(side, "bucket").withColumn("blocks", F.ceil(F.col("n") / (bucket_rows / 2)).cast("long"))
-        home = F.pmod(F.xxhash64("vid"), F.col("blocks"))
-        cell = lambda i: F.xxhash64("bucket", F.lit(level), F.lit("cell"), i)
-        row = F.pmod(F.xxhash64("vid", F.lit(7)), F.col("blocks"))
-        grid = within.withColumn("row", row).withColumn("col", home)
-        # A cell is (row block, column block): entries of the row visit, residents of the column are at home.
-        visits = grid.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "bucket", "vid", "code", "row", "blocks")
-        as_visit = visits.select(cell(F.col("row") * F.col("blocks") + F.col("j")).alias("bucket"), "vid", F.lit(True).alias("visit"), "code")
-        homes = grid.where(~F.col("visit")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), "bucket", "vid", "code", "col", "blocks")
-        as_home = homes.select(cell(F.col("i") * F.col("blocks") + F.col("col")).alias("bucket"), "vid", F.lit(False).alias("visit"), "code")
-        return _union([*done, as_visit, as_home])
-    return _union(done)
-
-
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+_CELL = T.StructType([T.StructField("cell", T.LongType()), T.StructField("home", T.BooleanType()), T.StructField("vid", T.LongType()), T.StructField("code", T.BinaryType())])
+
+
+class _Block:
+    """A block of entries and the ``k`` best residents that each has met so far, of a product of at least ``least``."""
+
+    def __init__(self, code: np.ndarray, vid: np.ndarray, k: int, least: float):
+        self.x, self.vid, self.k = _unit(code), vid, k
+        self.score, self.best = np.full((len(vid), k), least, np.float32), np.full((len(vid), k), -1)
+
+    def meet(self, code: np.ndarray, vid: np.ndarray, rows: int = 1024) -> None:
+        y = _unit(code)
+        for s in range(0, len(self.x), rows):
+            p = self.x[s : s + rows] @ y.T
+            near = p > self.score[s : s + rows, -1:]
+            if p.shape[1] > self.k + 1 and np.count_nonzero(near) > 64 * len(p):  # one more than k, as one may be the entry itself
+                at = np.argpartition(p, p.shape[1] - self.k - 1, axis=1)[:, -self.k - 1 :]
+                r, c = np.repeat(np.arange(len(p)), self.k + 1), at.ravel()
+                r, c = r[near[r, c]], c[near[r, c]]
+            else:
+                r, c = np.nonzero(near)
+            other = self.vid[s + r] != vid[c]
+            r, c = r[other], c[other]
+            if not len(r):
+                continue
+            rows_met = np.unique(r)
+            row = np.r_[r, np.repeat(rows_met, self.k)]
+            score, best = np.r_[p[r, c], self.score[s + rows_met].ravel()], np.r_[vid[c], self.best[s + rows_met].ravel()]
+            order = np.lexsort((-score, row))
+            row, score, best = row[order], score[order], best[order]
+            first = np.searchsorted(row, rows_met)[:, None] + np.arange(self.k)
+            self.score[s + rows_met], self.best[s + rows_met] = score[first], best[first]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        met = self.best >= 0
+        return np.repeat(self.vid, met.sum(axis=1)), self.best[met]
+
+
+def _pairs_in_blocks(k: int, least: float):
+    """Candidate pairs of hot buckets from cells sorted so that a block's entries come before the residents they meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
+
+        def out():
+            a, b = block.pairs()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=_PAIR.names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cell, home, vid, code = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(), _matrix(b.column(3), np.int8)
+            change = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (home[1:] != home[:-1]), True])
+            for s, e in zip(change[:-1], change[1:]):
+                if cell[s] != now:
+                    if block is not None:
+                        yield out()
+                    now, held, block = cell[s], [], None
+                if not home[s]:
+                    held.append((code[s:e].copy(), vid[s:e].copy()))
+                    continue
+                if block is None and held:
+                    block = _Block(*(np.concatenate(c) for c in zip(*held)), k, least)
+                    held = []
+                if block is not None:
+                    block.meet(code[s:e], vid[s:e])
+        if block is not None:
+            yield out()
+
+    return run
+
+
+def _candidates(entries: DataFrame, k: int, least: float, bucket_rows: int) -> DataFrame:
+    """Candidate pairs of all buckets; those of more than ``bucket_rows`` entries are compared in blocks, whole."""
+    hot = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows), "hot-buckets")
+    n = hot.limit(HOT_BROADCAST + 1).count()
+    side = F.broadcast(hot) if n <= HOT_BROADCAST else hot
+    cool = entries.join(side.select("bucket"), "bucket", "left_anti").select(*_ENTRY.names) if n else entries
+    pairs = cool.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(k, least), _PAIR)
+    if not n:
+        return pairs
+    # Every entry is in one block of its bucket, and every resident goes to all blocks.
+    within = entries.join(side, "bucket").withColumn("blocks", F.ceil(F.col("n") / (2 * bucket_rows)).cast("long"))
+    cell = F.xxhash64("bucket", "block")
+    asks = within.withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks"))).select(cell.alias("cell"), F.lit(False).alias("home"), "vid", "code")
+    homes = within.where(~F.col("visit")).select("bucket", "vid", "code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    cells = asks.unionByName(homes.select(cell.alias("cell"), F.lit(True).alias("home"), "vid", "code"))
+    return pairs.unionByName(cells.repartition("cell").sortWithinPartitions("cell", "home").mapInArrow(_pairs_in_blocks(k, least), _PAIR))
 
 
 def similar(
@@ -310,7 +350,8 @@ def similar(
 
     With ``min_cosine`` only neighbours at least so similar come out, and the buckets filter by it. Values that are no JSON
     array of ``size`` finite numbers, or all zero, take no part; a key counts once. Recall depends on ``tables``, ``visits``
-    and ``depth`` and is measured in the tests. Extra columns are ignored; tables of no or one vector give no rows.
+    and ``depth`` and is measured in the tests; buckets of any size are compared whole, so ``bucket_rows`` does not change it
+    and ``levels``, once the number of further splits, has no effect. Extra columns are ignored; tables of no or one vector give no rows.
     """
     spark = df.sparkSession
     vectors = unit_vectors(df, key, vector_json, size, newest)
@@ -336,9 +377,7 @@ def similar(
     visits = min(visits, depth)
     least = -2.0 if min_cosine is None else min_cosine - 0.03  # more than the codes can err
     entries = indexed.select("vid", "vec").mapInArrow(_index(dim, depth, tables, visits, seed), _ENTRY)
-    entries = _split_hot(entries, dim, bucket_rows, levels, seed)
-    pairs = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(k + 3, least), _PAIR).distinct()
-    pairs = materialize(pairs, "vector-pairs")
+    pairs = materialize(_candidates(entries, k + 3, least, bucket_rows).distinct(), "vector-pairs")
     release_shuffles(spark)
     left = vectors.select(F.col("vid").alias("a"), F.col("key").alias("key_a"), F.col("vec").alias("va"))
     right = vectors.select(F.col("vid").alias("b"), F.col("key").alias("key_b"), F.col("vec").alias("vb"))

@@ -76,6 +76,16 @@ def test_crowded_region_in_blocks(spark):
     assert set(per.values()) == {5}
 
 
+def test_crowd_of_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=64) / 8
+    x = np.round(np.concatenate([centre + 0.03 * rng.normal(size=(1500, 64)), rng.normal(size=(3000, 64)) / 8]), 5)
+    want = {p for p in brute(x, 5, 0.9) if p[0] < 1500}
+    assert len(want) > 5000
+    got = keys(similar(frame(spark, x), "key", "v", k=5, size=64, min_cosine=0.9, bucket_rows=100))
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_without_threshold_full_lists(spark):
     x = clusters(400, 32, 3, 0.1)
     pairs = keys(similar(frame(spark, x), "key", "v", k=3, depth=1, tables=6, visits=2))
