@@ -157,6 +157,19 @@ def support_projection(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.project_sentences(passages, s)
 
 
+@register("support_projection_whole", r"""
+with ok as (select distinct source_id, title, from_json(case when json_valid(sentences) and json_type(sentences) = 'ARRAY' then sentences end, '["VARCHAR"]') x from paragraphs),
+p as (select source_id pid, trim(regexp_replace(array_to_string(x, ''), '[\s\x0b\x85\p{Z}]+', ' ', 'g')) body from ok where x is not null),
+s as (select source_id, title, i idx, trim(regexp_replace(x[i + 1], '[\s\x0b\x85\p{Z}]+', ' ', 'g')) needle from (select source_id, title, x, unnest(range(0, len(x))) i from ok))
+select distinct pid as passage_id, s.title, cast(idx as integer) as idx from p join s on s.source_id = p.pid where needle <> '' and contains(body, needle)""")
+def support_projection_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences that each paragraph's whole text holds."""
+    s = corpus.sentences_of(table(spark, sf, "paragraphs"))
+    raw = table(spark, sf, "paragraphs").select("source_id", "title", F.from_json("sentences", "array<string>").alias("x")).where("x is not null").distinct()
+    passages = raw.select(F.col("source_id").alias("passage_id"), "source_id", "title", u_collapse(F.array_join("x", "")).alias("text"))
+    return metrics.project_sentences(passages, s)
+
+
 @register("question_types", f"""
 with {_ITEMS} select coalesce(question_type, 'unknown') as question_type, count(*) as items, min(len(evidence_docs)) as min_hops, max(len(evidence_docs)) as max_hops, round(avg(len(evidence_docs)), 6) as avg_hops from it group by 1""")
 def question_types(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import random
 import re
 import string
@@ -247,3 +248,11 @@ def test_fuzzy_recall_against_plain_python(spark):
     g = spark.createDataFrame(list(facts.items()), "query_id string, facts array<string>")
     t = spark.createDataFrame(found, "query_id string, rank int, text string")
     assert {r.query_id: r.evidence_fact_recall for r in metrics.fuzzy_recall(t, g, 2).collect()} == pytest.approx(want)
+
+
+def test_support_projection_reads_whole_paragraphs(spark, tmp_path):
+    from strandloom.plans.q_evaluation import support_projection_whole
+
+    sentences = [f"Sentence {i} of a paragraph that goes on well past its first lines. " for i in range(20)]
+    spark.createDataFrame([("s", "T", json.dumps(sentences)), ("b", "B", "broken")], "source_id string, title string, sentences string").write.parquet(f"{tmp_path}/paragraphs.parquet")
+    assert {tuple(r) for r in support_projection_whole(spark, str(tmp_path)).collect()} == {("s", "T", i) for i in range(20)}
