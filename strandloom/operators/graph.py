@@ -91,8 +91,11 @@ def additions(starts: DataFrame, base: DataFrame, edges: DataFrame) -> DataFrame
     return n.join(base.select("query_id", "id"), ["query_id", "id"], "left_anti")
 
 
-def integrity(chunks: DataFrame, nxt: DataFrame, hop: DataFrame) -> DataFrame:
-    """(check, violations), one row a check; all are aggregates or anti joins."""
+def integrity(chunks: DataFrame, nxt: DataFrame, hop: DataFrame, answered_by: DataFrame | None = None, questions: DataFrame | None = None) -> DataFrame:
+    """(check, violations), one row a check; all are aggregates or anti joins.
+
+    With ``answered_by`` (qplus_id, qminus_id) and ``questions`` (id, chunk_id) the provenance of the hops is a check too.
+    """
     ids = chunks.select("id")
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
     dup = lambda df, *c: df.groupBy(*c).count().where("count > 1")
@@ -110,6 +113,8 @@ def integrity(chunks: DataFrame, nxt: DataFrame, hop: DataFrame) -> DataFrame:
         n(hop.where("src_id = dst_id"), "hop_to_itself"), n(dup(hop, "src_id", "dst_id"), "duplicate_hop"),
         n(ends(hop).where("ss = ts"), "hop_within_source"),
     ]
+    if answered_by is not None:
+        parts.append(n(provenance_gaps(hop, answered_by, questions), "hop_provenance"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -126,7 +131,7 @@ def next_gaps(chunks: DataFrame, nxt: DataFrame) -> DataFrame:
 def provenance_gaps(hops: DataFrame, answered_by: DataFrame, questions: DataFrame) -> DataFrame:
     """Source questions of a hop that no ANSWERED_BY leads from to the hop's target."""
     e = hops.select("src_id", "dst_id", F.explode("source_question_ids").alias("qplus_id"))
-    owner = answered_by.join(questions.select(F.col("id").alias("qminus_id"), F.col("chunk_id").alias("dst_id")), "qminus_id").select("qplus_id", "dst_id")
+    owner = answered_by.select("qplus_id", "qminus_id").join(questions.select(F.col("id").alias("qminus_id"), F.col("chunk_id").alias("dst_id")), "qminus_id").select("qplus_id", "dst_id")
     return e.join(owner, ["qplus_id", "dst_id"], "left_anti")
 
 

@@ -74,7 +74,7 @@ def build(index: Index, docs: DataFrame, metadata: DataFrame | None = None, opti
 
 
 def check(index: Index) -> DataFrame:
-    return graph.integrity(index.read("chunk"), index.read("edge_next"), index.read("edge_hop"))
+    return graph.integrity(index.read("chunk"), index.read("edge_next"), index.read("edge_hop"), index.read("edge_answered_by"), index.read("question"))
 
 
 def _vectors(df: DataFrame) -> DataFrame:

@@ -143,10 +143,15 @@ def owner_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.owner_collapse(hits, retrieval.K).select("query_id", "owner_id", F.round("score", 6).alias("score"), F.array_join("matched", ",").alias("matched"))
 
 
+def bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of the graph that the embeddings stand for."""
+    e = table(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.floor(F.col("vec_id") / 3).cast("long").alias("id"), F.col("label").alias("source"))
+    return rank_within(e, ["source"], [F.col("id").asc()]).select("id", "source", (F.col("rank") - 1).alias("sent_id"), F.lit("x").alias("text"))
+
+
 def edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, NEXT, HOP) of the graph that the embeddings stand for."""
-    e = table(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.floor(F.col("vec_id") / 3).cast("long").alias("id"), F.col("label").alias("source"))
-    c = rank_within(e, ["source"], [F.col("id").asc()]).select("id", "source", (F.col("rank") - 1).alias("sent_id"), F.lit("x").alias("text"))
+    c = bodies(spark, sf)
     return c, graph.next_edges(c), materialize(graph.merge_hops(graph.hop_matches(*questions(spark, sf))), "hops")
 
 
@@ -224,6 +229,32 @@ def integrity_checks(spark: SparkSession, sf: str) -> DataFrame:
     return graph.integrity(c, graph.next_edges(c), graph.next_edges(c).where("false"))
 
 
+@register("graph_integrity", f"""
+with {_EDGES.split('nxt as')[0].strip().rstrip(',')}, nt as (select a src_id, b dst_id from nx where b is not null),
+g as (select id, src, row_number() over (partition by src order by id) r from body), gap as (select a.id src_id, b.id dst_id from g a join g b on a.src = b.src and b.r = a.r + 1),
+prov as (select src_id, dst_id, cast(unnest(string_split(ids, ',')) as bigint) qplus_id from merged)
+select 'duplicate_chunk' as "check", count(*) as violations from (select id from body group by id having count(*) > 1)
+union all select 'blank_chunk', 0
+union all select 'next_source_missing', count(*) from nt where src_id not in (select id from body)
+union all select 'next_target_missing', count(*) from nt where dst_id not in (select id from body)
+union all select 'next_out_degree', count(*) from (select src_id from nt group by src_id having count(*) > 1)
+union all select 'next_in_degree', count(*) from (select dst_id from nt group by dst_id having count(*) > 1)
+union all select 'next_crosses_source', count(*) from nt join body a on a.id = src_id join body b on b.id = dst_id where a.src <> b.src
+union all select 'next_gap', count(*) from gap where (src_id, dst_id) not in (select src_id, dst_id from nt)
+union all select 'hop_source_missing', count(*) from merged where src_id not in (select id from body)
+union all select 'hop_target_missing', count(*) from merged where dst_id not in (select id from body)
+union all select 'hop_to_itself', count(*) from merged where src_id = dst_id
+union all select 'duplicate_hop', count(*) from (select src_id, dst_id from merged group by src_id, dst_id having count(*) > 1)
+union all select 'hop_within_source', count(*) from merged join body a on a.id = src_id join body b on b.id = dst_id where a.src = b.src
+union all select 'hop_provenance', count(*) from prov where (qplus_id, dst_id) not in (select qplus_id, m.chunk_id from hop join e m on m.id = hop.qminus_id)""")
+def graph_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    """The checks over the graph that the embeddings stand for, with its hop edges and their provenance."""
+    plus, minus = questions(spark, sf)
+    matches = materialize(graph.hop_matches(plus, minus), "hop-matches")
+    c = bodies(spark, sf)
+    return graph.integrity(c, graph.next_edges(c), graph.merge_hops(matches), matches, minus)
+
+
 @register("capacity", """
 select cast(sum(n) as bigint) as records, cast(sum(b) as bigint) as logical_bytes from (
  select count(*) n, 8 * sum(len(embedding)) + 8 * count(*) b from embeddings union all select count(*), sum(coalesce(length(text), 0)) + 8 * count(*) from chunks)""")

@@ -169,3 +169,23 @@ def test_hot_groups_are_ranked_in_pieces(spark):
     assert {tuple(r) for r in rank_whole(df, ["g"], order, hot_rows=1).collect()} == want
     chunks = df.select(F.col("g").alias("source"), F.col("s").alias("sent_id"), F.col("i").alias("id"))
     assert {tuple(r) for r in graph.next_edges(chunks, 600).collect()} == {tuple(r) for r in graph.next_edges(chunks).collect()}
+
+
+def test_integrity_reports_hops(spark):
+    chunks = spark.createDataFrame([(1, "a", 0, "x"), (2, "a", 1, "x"), (3, "b", 0, "x")], "id long, source string, sent_id int, text string")
+    hop = spark.createDataFrame([(1, 3, [10, 11]), (1, 2, [10]), (1, 2, [10]), (3, 3, [12]), (1, 9, [10]), (8, 1, [12])], "src_id long, dst_id long, source_question_ids array<long>")
+    answered = spark.createDataFrame([(10, 1, 20, 3), (12, 3, 21, 3)], "qplus_id long, src_id long, qminus_id long, dst_id long")
+    minus = spark.createDataFrame([(20, 3), (21, 3)], "id long, chunk_id long")
+    got = {r["check"]: r.violations for r in graph.integrity(chunks, graph.next_edges(chunks), hop, answered, minus).collect()}
+    assert {k: v for k, v in got.items() if v} == {"hop_source_missing": 1, "hop_target_missing": 1, "hop_to_itself": 1, "duplicate_hop": 1, "hop_within_source": 3, "hop_provenance": 5}
+
+
+def test_graph_integrity_sees_hop_edges(spark):
+    from pathlib import Path
+
+    from strandloom.plans.q_index import graph_integrity
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no test tables")
+    got = {r["check"]: r.violations for r in graph_integrity(spark, "/root/testdata/sf0.001").collect()}
+    assert got["hop_within_source"] == 13 and got["hop_provenance"] == 0 and len(got) == 14
