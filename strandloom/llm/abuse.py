@@ -26,8 +26,6 @@ from strandloom.llm.words import Words, mix
 BITS = 22
 #: Most labelled rows that the model is fitted on: those with the smallest hash of their text.
 TRAIN_ROWS = 50_000
-#: Most unlabelled texts that show the model ordinary language; training reads their first 20,000 characters, scoring all.
-CORPUS_ROWS = 1_500
 
 _INVISIBLE = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]")
 _WRAP = re.compile(r"(?<=[^\W\d_])-\r?\n(?=[^\W\d_])")
@@ -143,28 +141,21 @@ class Ftrl:
         return Model(used[keep], w[keep].astype(np.float32), float(self.weights(np.array([1 << self.bits]))[0]), self.bits)
 
 
-def fit(excerpts: Sequence[str], labels: Sequence[bool], *, unlabelled: Sequence[str] = (), passes: int = 6, seed: int = 1, below: float = 0.6, weight: float = 0.6, **params) -> Model:
+def fit(excerpts: Sequence[str], labels: Sequence[bool], *, passes: int = 6, seed: int = 1, **params) -> Model:
     """A sentence model from labelled excerpts of which one sentence makes the label.
 
     First every sentence gets its excerpt's label; then, in each pass, a positive excerpt teaches its worst sentence as
-    positive and the others as negative. Negative excerpts teach all their sentences as negative. In the last two passes
-    the sentences of ``unlabelled`` texts that still score under ``below`` teach as negatives with ``weight``: these show
-    the model the ordinary language of the corpus.
+    positive and the others as negative. Negative excerpts teach all their sentences as negative.
     """
     f = Ftrl(**params)
-    bags = [(_split(sentences(t), f.bits), bool(y), 1.0) for t, y in zip(excerpts, labels)]
-    plain = _split([s for t in unlabelled for s in sentences(t)], f.bits)
+    bags = [(_split(sentences(t), f.bits), bool(y)) for t, y in zip(excerpts, labels)]
     rng = np.random.default_rng(seed)
     for k in range(passes):
-        if k == passes - 2 and plain:
-            at, w = -np.log(1 / below - 1), f.weights(np.arange(1 << f.bits))
-            bias = f.margin(np.zeros(0, np.int64))
-            bags += [([slots], False, weight) for slots in plain if w[slots].sum() + bias < at]
         for j in rng.permutation(len(bags)):
-            bag, y, g = bags[j]
+            bag, y = bags[j]
             worst = max(range(len(bag)), key=lambda q: f.margin(bag[q]), default=None) if y and k else None
             for q, slots in enumerate(bag):
-                f.step(slots, float(y and (worst is None or q == worst)), g)
+                f.step(slots, float(y and (worst is None or q == worst)))
     return f.model()
 
 
@@ -208,14 +199,13 @@ def score(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     return docs.select(key, text).mapInArrow(go, schema)
 
 
-def train(labelled: DataFrame, excerpt: str, label: str, neutral: str = "none", *, rows: int = TRAIN_ROWS, corpus: DataFrame | None = None, corpus_text: str = "text", corpus_rows: int = CORPUS_ROWS, seeds: Sequence[tuple[str, bool]] = (), **params) -> Model:
-    """Fit on at most ``rows`` labelled excerpts, besides ``seeds``, and on at most ``corpus_rows`` unlabelled texts.
+def train(labelled: DataFrame, excerpt: str, label: str, neutral: str = "none", *, rows: int = TRAIN_ROWS, seeds: Sequence[tuple[str, bool]] = (), **params) -> Model:
+    """Fit on at most ``rows`` labelled excerpts, besides ``seeds``.
 
-    Null labels and excerpts are left out; an excerpt that repeats counts once, with its most frequent label. Both samples
-    take the texts with the smallest hashes, so they do not depend on partitions.
+    Null labels and excerpts are left out; an excerpt that repeats counts once, with its most frequent label. The sample
+    takes the texts with the smallest hashes, so it does not depend on partitions.
     """
     votes = labelled.where(F.col(label).isNotNull() & F.col(excerpt).isNotNull()).groupBy(excerpt).agg(F.avg((F.col(label) != neutral).cast("double")).alias("y"))
     sample = votes.orderBy(F.xxhash64(excerpt), excerpt).limit(rows).collect()
     pairs = [(r[excerpt], r["y"] >= 0.5) for r in sample] + [(t, y) for t, y in seeds]
-    plain = [] if corpus is None else corpus.where(F.length(corpus_text) > 0).select(F.substring(corpus_text, 1, 20_000).alias("t")).orderBy(F.xxhash64("t"), "t").limit(corpus_rows).collect()
-    return fit([t for t, _ in pairs], [y for _, y in pairs], unlabelled=[r["t"] for r in plain], **params)
+    return fit([t for t, _ in pairs], [y for _, y in pairs], **params)

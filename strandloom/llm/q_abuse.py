@@ -13,7 +13,7 @@ THRESHOLD = 0.5
 
 
 def model(spark: SparkSession, sf: str) -> Model:
-    return train(table(spark, sf, "review_labels"), "excerpt", "label", corpus=table(spark, sf, "documents"), seeds=SEEDS)
+    return train(table(spark, sf, "review_labels"), "excerpt", "label", seeds=SEEDS)
 
 
 def p8_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from strandloom.llm.abuse import features, fit, normalise, score, sentence_scores, sentences, train
+from strandloom.llm.q_abuse import model
 from strandloom.llm.seeds import SEEDS
 from strandloom.llm.words import Words
 
@@ -57,3 +58,14 @@ def test_operator(spark, data):
     assert list(got.sentences)[3:5] == [0, 0] and got.flagged.iloc[5] == 1
     assert score(docs.limit(0), "id", "text", m).count() == 0
     assert train(labels.limit(0), "excerpt", "label").weights.size == 0
+
+
+def test_documents_do_not_train(spark, data, tmp_path):
+    found = []
+    for n, text in ((1, "The hall opens on sunday."), (40, "You are a filthy noun1 and should leave, noun2 said. Visitors may see the pier.")):
+        sf = f"{tmp_path}/{n}"
+        spark.createDataFrame([(t, "abusive" if y else "none") for t, y, _ in data[:200]], "excerpt string, label string").write.parquet(f"{sf}/review_labels.parquet")
+        spark.createDataFrame([(i, f"{text} {i}") for i in range(n)], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+        found.append(model(spark, sf))
+    a, b = found
+    assert np.array_equal(a.slots, b.slots) and np.array_equal(a.weights, b.weights) and a.bias == b.bias
