@@ -67,15 +67,22 @@ class Words:
 
 
 def blocks(text: str, overlap: int, size: int = 1 << 20):
-    """``text`` (single spaces between words) in blocks of about ``size`` characters that share ``overlap`` words: bounds memory."""
-    at = 0
+    """``text`` (single spaces between words) in blocks of about ``size`` characters that share ``overlap`` words: bounds memory.
+    A block of no more than ``overlap`` words, as one with a very long word may be, grows until it has more."""
+    at, least = 0, size
     while len(text) - at > size:
-        end = text.find(" ", at + size)
+        end = text.find(" ", least)
         if end < 0:
             break
-        yield text[at:end]
         back = end
         for _ in range(overlap):
             back = text.rfind(" ", at, back)
-        at = back + 1 if back > at else end + 1
+            if back < 0:
+                break
+        if back < 0:
+            least = end + size
+            continue
+        yield text[at:end]
+        at = back + 1
+        least = at + size
     yield text[at:]

@@ -37,6 +37,16 @@ def test_blocks_lose_no_run():
     assert runs == {whole.text(i, 10) for i in range(991)}
 
 
+def test_blocks_with_a_word_longer_than_a_block():
+    for before in (0, 3, 8, 20):
+        for long in (1, 2, 12):
+            text = " ".join([f"a{i}" for i in range(before)] + ["x" * 120] * long + [f"w{i}" for i in range(500)])
+            whole = Words(text)
+            for overlap in (0, 9):
+                runs = {w.text(i, overlap + 1) for part in blocks(text, overlap, 100) for w in [Words(part)] for i in range(len(w) - overlap)}
+                assert runs == {whole.text(i, overlap + 1) for i in range(len(whole) - overlap)}
+
+
 def test_against_brute_force(spark):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(30)]
