@@ -46,12 +46,12 @@ def test_scan_equals_the_expressions():
 
 
 def test_features_stay_in_their_sentence():
-    words, of, text = scan(["A b c d. X. A b c d."])
+    words, of, text = scan(["Aa bb cc dd. Xx. Aa bb cc dd."])
     found = list(features(words, of))
     part, slot = np.concatenate([s for s, _ in found]), np.concatenate([x for _, x in found])
     assert set(slot[part == 0]) == set(slot[part == 2]) and (part == 1).sum() == 1
     assert (part == 0).sum() == 4 + 3 + 2 + 2 + 1
-    assert [[len(b) for b in x] for x in bags(["A b c d. X.", "", None or "x"])] == [[12, 1], [], [1]]
+    assert [[len(b) for b in x] for x in bags(["Aa bb cc dd. Xx.", "", "xx"])] == [[12, 1], [], [1]]
     assert len(Words("a b c d")) == 4
 
 
