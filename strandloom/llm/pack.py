@@ -3,8 +3,8 @@
 Items above the capacity are cut into full containers and a remainder; nothing else is divided. Within a bucket of bounded
 size the large lengths are sorted and rounded up to the largest of their equal-cardinality group, which leaves few sizes;
 configurations of these sizes are optimised by column generation (a knapsack prices new ones); each configuration, as many
-times as its rounded-down count says, takes actual items of its groups; all other items go best fit, longest first, into
-what room is left or into new containers. Only keys and lengths leave the scan. Buckets are independent, so the packing
+times as its rounded-up count says, takes actual items of its groups, and the slack that rounding left goes to the largest
+grouped item that fits; all other items go best fit, longest first, into what room is left or into new containers. Only keys and lengths leave the scan. Buckets are independent, so the packing
 scales out; each adds at most a handful of containers that one packing of everything would save.
 """
 
@@ -60,15 +60,36 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds
     return columns, np.maximum(x, 0)
 
 
-def pack_sizes(size: np.ndarray, capacity: int, groups: int = 32, large: tuple[float, ...] = (0.3, 0.4, 0.5)) -> np.ndarray:
-    """The container number of each of the items, whose sizes are between 1 and ``capacity``; a pure function of the order.
+class _Sizes:
+    """Items by size, and which sizes are there as the bits of a number: the largest that fits is found in one step."""
 
-    ``large`` are the shares of the capacity above which lengths are grouped; the packing with the fewest containers stays.
-    """
-    return min((_pack(size, capacity, groups, x) for x in large), key=lambda w: w.max(initial=-1))
+    def __init__(self, size: np.ndarray, items: np.ndarray, capacity: int):
+        self.held: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.mask = 0
+        for i in items[::-1].tolist():  # of equal sizes the first item leaves first
+            self.held[size[i]].append(i)
+            self.mask |= 1 << int(size[i])
+
+    def take(self, most: int, least: int = 1) -> tuple[int, int] | None:
+        """(item, size) of the largest size within the bounds."""
+        s = (self.mask & ((1 << (most + 1)) - 1)).bit_length() - 1
+        if s < least:
+            return None
+        item = self.held[s].pop()
+        if not self.held[s]:
+            self.mask &= ~(1 << s)
+        return item, s
 
 
-def _pack(size: np.ndarray, capacity: int, groups: int, large: float) -> np.ndarray:
+def pack_sizes(size: np.ndarray, capacity: int, groups: int = 24, large: float = 0.35) -> np.ndarray:
+    """The container number of each of the items, whose sizes are between 1 and ``capacity``; a pure function of the order.
+
+    Lengths above ``large`` of the capacity are sorted into equal-cardinality groups and rounded up to the largest of their
+    group; the linear programme over configurations of these few sizes is solved, and each configuration is used as often
+    as its rounded-up count says. A container takes actual items of the configuration's groups, the largest first; what
+    they leave of the rounded sizes goes to the largest grouped item that still fits. Items of small lengths, and large
+    ones that no configuration took, go best fit, longest first. With fewer than four items a group there is only best fit.
+    """
     size = np.asarray(size, np.int64)
     where = np.full(len(size), -1, np.int64)
     order = np.argsort(-size, kind="stable")
@@ -78,29 +99,37 @@ def _pack(size: np.ndarray, capacity: int, groups: int, large: float) -> np.ndar
         parts = [p for p in np.array_split(big, groups) if len(p)]
         top = np.array([size[p[0]] for p in parts])
         rounded, member = np.unique(top, return_inverse=True)
-        queues = [np.concatenate([p for p, m in zip(parts, member) if m == k]) for k in range(len(rounded))]
-        columns, times = _configurations(rounded, np.array([len(q) for q in queues], float), capacity)
-        at = [0] * len(queues)
-        for j in range(columns.shape[1]):
-            need = columns[:, j].astype(int)
-            for _ in range(int(times[j] + 1e-6)):
-                if any(n and at[k] >= len(queues[k]) for k, n in enumerate(need)):
+        demand = np.bincount(member, weights=[len(p) for p in parts])
+        below = np.concatenate([[int(size[big[-1]]) - 1], rounded[:-1]])  # a group holds the sizes above this
+        columns, times = _configurations(rounded, demand, capacity)
+        left_over = _Sizes(size, big, capacity)
+        # The fullest configurations first, so that what is not served at the end is what packs worst anyway.
+        fullest = sorted(range(columns.shape[1]), key=lambda j: (-float(rounded @ columns[:, j]), j))
+        for j in fullest:
+            groups_used = np.repeat(np.arange(len(rounded)), columns[:, j].astype(int))[::-1]
+            for _ in range(int(np.ceil(times[j] - 1e-6))):
+                left, taken = capacity, []
+                for q, k in enumerate(groups_used):
+                    most = left if q + 1 == len(groups_used) else min(int(rounded[k]), left)
+                    if (got := left_over.take(most, int(below[k]) + 1)) is not None:
+                        taken.append(got[0])
+                        left -= got[1]
+                if not taken or len(taken) < len(groups_used) and left > capacity * large:
+                    for item in taken[::-1]:  # a group ran out: best fit will do better
+                        left_over.held[size[item]].append(item)
+                        left_over.mask |= 1 << int(size[item])
                     break
-                left = capacity
-                for k in np.flatnonzero(need):
-                    for item in queues[k][at[k] : at[k] + need[k]]:
-                        where[item] = len(room)
-                        left -= int(size[item])
-                    at[k] += int(need[k])
+                while (got := left_over.take(left)) is not None:
+                    taken.append(got[0])
+                    left -= got[1]
+                where[taken] = len(room)
                 room.append(left)
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask = 0
     for c, left in enumerate(room):
         open_at[left].append(c)
         mask |= 1 << left
-    for item in order:
-        if where[item] >= 0:
-            continue
+    for item in order[where[order] < 0].tolist():
         s = int(size[item])
         fits = mask >> s
         if fits:
@@ -131,7 +160,7 @@ PACKED = T.StructType(
 )
 
 
-def pack(items: DataFrame, key: str, size: Column, capacity: int = 512, *, bucket_items: int = 50_000, groups: int = 32) -> DataFrame:
+def pack(items: DataFrame, key: str, size: Column, capacity: int = 512, *, bucket_items: int = 50_000, groups: int = 24) -> DataFrame:
     """(key, piece, token_start, tokens, bucket, container) of every piece of every item.
 
     A container is named by bucket and number within it. Items of null or no size do not come out. ``key`` is a number and
@@ -150,4 +179,5 @@ def pack(items: DataFrame, key: str, size: Column, capacity: int = 512, *, bucke
         t = t.sort_by([("tokens", "descending"), ("key", "ascending"), ("piece", "ascending")])
         return t.append_column("container", pa.array(pack_sizes(t["tokens"].to_numpy(), capacity, groups))).select(PACKED.names)
 
-    return pieces.groupBy("bucket").applyInArrow(one, PACKED)
+    # A number of partitions of our own: the few bytes of an item would otherwise all be merged into one task.
+    return pieces.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(one, PACKED)

@@ -26,9 +26,17 @@ def p6_totals(spark: SparkSession, sf: str) -> DataFrame:
     return per.agg(F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), (F.max("tokens") > CAPACITY).cast("int").alias("over"))
 
 
+def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """What every packing must agree in for each document: its pieces, their tokens, and that they follow on each other."""
+    c = p6_containers(spark, sf)
+    ends = F.max(F.col("token_start") + F.col("tokens")) == F.sum("tokens")
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"), ends.alias("whole"))
+
+
 _N = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x0b\x85\p{Z}]+'))"
-QUERIES = {"p6_found": p6_found, "p6_containers": p6_containers, "p6_totals": p6_totals}
+QUERIES = {"p6_found": p6_found, "p6_containers": p6_containers, "p6_totals": p6_totals, "p6_documents": p6_documents}
 SQL = {
+    "p6_documents": f"select doc_id, cast(ceil(n / 512.0) as bigint) as pieces, cast(n as bigint) as tokens, true as whole from (select doc_id, {_N} n from documents where text is not null) where n > 0",
     "p6_found": f"select doc_id from documents where text is not null and {_N} > 512",
     "p6_totals": f"select cast(sum(ceil(n / 512.0)) as bigint) as pieces, cast(sum(n) as bigint) as tokens, 0 as over from (select {_N} n from documents where text is not null)",
 }

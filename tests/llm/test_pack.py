@@ -25,6 +25,16 @@ def test_every_item_once_and_within_capacity(seed):
         assert len(load) <= 1.25 * max(bound, big) + 34
 
 
+def test_configurations_place_the_large_items_as_well_as_best_fit():
+    rng = np.random.default_rng(11)
+    size = np.minimum(512, np.maximum(1, rng.lognormal(4.7, 0.8, 20000).astype(int)))
+    grouped, best_fit = pack_sizes(size, 512), pack_sizes(size, 512, groups=10**9)
+    assert grouped.max() <= best_fit.max() + 0.001 * best_fit.max()
+    # Without the small ones there is no best fit to lean on: the configurations alone hold all but a few of the large.
+    big = size[size > 0.35 * 512]
+    assert pack_sizes(big, 512).max() <= 1.01 * pack_sizes(big, 512, groups=10**9).max()
+
+
 def test_equal_sizes():
     assert len(set(pack_sizes(np.full(1000, 128), 512).tolist())) == 250
 
