@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from strandloom.llm.leak import leaks, minhashes
+from strandloom.llm.leak import _window_minima, band_count, contained, leaks, minhashes, size_class
 from strandloom.llm.words import Words, blocks, spaced
 
 
@@ -63,8 +63,8 @@ def test_against_brute_force(spark):
     pp = spark.createDataFrame([(*r, 1) for r in passages], "item string, passage string, doc int")
     want = brute(docs, passages, 10)
     assert len(want) > 50
-    for limit in (10**6, 0):  # broadcast, then the join
-        got = {(r.doc, r.item) for r in leaks(dd, "id", "text", pp, "item", "passage", broadcast_windows=limit).collect()}
+    for bits in (1 << 26, 1 << 12):  # a filter with room, and one that is full and lets most windows through
+        got = {(r.doc, r.item) for r in leaks(dd, "id", "text", pp, "item", "passage", filter_bits=bits).collect()}
         assert got == want
     assert leaks(dd.limit(0), "id", "text", pp, "item", "passage").count() == 0
     assert leaks(dd, "id", "text", pp.limit(0), "item", "passage").count() == 0
@@ -74,3 +74,51 @@ def test_minhash_is_one_of_the_window(spark):
     w = Words(" ".join(f"w{i}" for i in range(40)))
     m, s = minhashes(w, 10, 5), w.spans(5)
     assert all(m[i] == s[i : i + 6].min() for i in range(len(m))) and m.dtype == np.uint64
+
+
+def test_windows_hold_every_run_of_their_class():
+    g = np.arange(1000, dtype=np.uint64)[::-1].copy()
+    for size in (4, 16, 64):
+        m = _window_minima(g, size)
+        step = size // 2
+        for i in range(0, 1000 - size + 1, 7):
+            k = min(i // step, len(m) - 1)
+            assert k * step <= i and m[k] <= g[i : i + size].min()
+    assert len(_window_minima(g[:3], 4)) == 1
+    assert band_count(0.8) == 19 and [size_class(n) for n in (1, 4, 5, 8, 9, 100)] == [4, 4, 8, 8, 16, 128]
+
+
+def shares(docs, passages, at, n=5):
+    sets = lambda t: {tuple(w[i : i + n]) for w in [words_of(t or "")] for i in range(len(w) - n + 1)}
+    out = {}
+    for d, t in docs:
+        s = sets(t)
+        for i, p in passages:
+            q = sets(p)
+            if q and len(q & s) / len(q) >= at:
+                out[d, i] = max(out.get((d, i), 0), len(q & s) / len(q))
+    return out
+
+
+def test_contained_with_changed_words(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passages = [(f"i{k}", " ".join(word() for _ in range(rng.choice([5, 7, 12, 20, 45, 150, 300])))) for k in range(60)] + [("n", None), ("e", ""), ("s", "one two three four")]
+    docs = []
+    for d in range(400):
+        p = words_of(rng.choice(passages)[1] or "")
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            if p:
+                p[rng.randrange(len(p))] = word()
+        before = [word() for _ in range(rng.choice([0, 3, 400]))]
+        docs.append((d, " ".join([*before, *p, *(word() for _ in range(rng.choice([0, 50])))])))
+    docs += [(900, None), (901, ""), (902, " ".join(word() for _ in range(200_000)) + " " + passages[0][1])]
+    dd = spark.createDataFrame([(*r, "x") for r in docs + docs[:3]], "id long, text string, item string")
+    pp = spark.createDataFrame([(*r, 1) for r in passages], "item string, passage string, doc int")
+    want = shares(docs, passages, 0.8)
+    assert any(x < 1 for x in want.values()) and len(want) > 150
+    got = {(r.doc, r.item): r.containment for r in contained(dd, "id", "text", pp, "item", "passage").collect()}
+    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert len(got) >= 0.995 * len(want)
+    assert contained(dd.limit(0), "id", "text", pp, "item", "passage").count() == 0
+    assert contained(dd, "id", "text", pp.limit(0), "item", "passage").count() == 0
