@@ -85,6 +85,23 @@ def _keyed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, T.DataType]:
     return df.select(F.col(key).cast(kind).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()), kind
 
 
+def _joined(batch: pa.RecordBatch, overlap: int, size: int = 1 << 20) -> Iterator[tuple[list, Words, np.ndarray]]:
+    """(keys, words, text of each word) of about ``size`` characters of texts at a time, each whole or in blocks."""
+    keys, held, n = [], [], 0
+    for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for block in blocks(spaced(t), overlap, max(size, 64 * overlap)):
+            if not block:
+                continue
+            keys.append(k)
+            held.append(block)
+            n += len(block)
+            if n >= size:
+                yield keys, Words(" ".join(held)), np.repeat(np.arange(len(held)), [b.count(" ") + 1 for b in held])
+                keys, held, n = [], [], 0
+    if held:
+        yield keys, Words(" ".join(held)), np.repeat(np.arange(len(held)), [b.count(" ") + 1 for b in held])
+
+
 def _runs(kind: T.DataType, run: int, shingle: int, wanted):
     """(key, minhash, words) of the windows of each text, or of those whose MinHash is ``wanted``."""
     arrow = pa.int64() if isinstance(kind, T.LongType) else pa.string()
@@ -92,20 +109,15 @@ def _runs(kind: T.DataType, run: int, shingle: int, wanted):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, hashes, texts = [], [], []
-            for k, block in ((k, block) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for block in blocks(spaced(t), run - 1)):
-                w = Words(block)
+            for keys, w, of in _joined(b, run - 1):
                 m = minhashes(w, run, shingle)
-                places = np.flatnonzero(wanted.value.hit(m)) if wanted is not None else range(len(m))
-                for i in places:
-                    keys.append(k)
-                    hashes.append(m[i].astype(np.int64))
-                    texts.append(w.text(i, run))
-                if len(keys) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, arrow), pa.array(hashes, pa.int64()), pa.array(texts, pa.string())], names=names)
-                    keys, hashes, texts = [], [], []
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, arrow), pa.array(hashes, pa.int64()), pa.array(texts, pa.string())], names=names)
+                ok = of[: len(m)] == of[run - 1 :]  # within one text
+                if wanted is not None:
+                    ok &= wanted.value.hit(m)
+                at = np.flatnonzero(ok)
+                for s in range(0, len(at), 20_000):
+                    some = at[s : s + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[of[i]] for i in some], arrow), pa.array(m[some].view(np.int64)), pa.array([w.text(i, run) for i in some], pa.string())], names=names)
 
     return go, T.StructType([T.StructField("key", kind), T.StructField("minhash", T.LongType()), T.StructField("words", T.StringType())])
 
@@ -139,14 +151,24 @@ def size_class(n: int) -> int:
     return max(4, 1 << (max(1, n) - 1).bit_length())
 
 
-def _window_minima(g: np.ndarray, size: int) -> np.ndarray:
-    """The least value of each window of 1.5 x ``size`` values, half a ``size`` apart, over the whole of ``g``."""
+def _windows(of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each block, second and third block of the same text, text) for windows of ``size`` and a half: blocks of half
+    a ``size`` values of each text, of which every one opens a window of three, or of fewer where the text ends."""
     step = size // 2
-    m = np.minimum.reduceat(g, np.arange(0, len(g), step))
-    out = m.copy()
-    for k in (1, 2):
-        out[:-k] = np.minimum(out[:-k], m[k:])
-    return out[: max(1, len(m) - 2)]
+    edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    length = np.diff(np.append(edge, len(of)))
+    many = -(-length // step)
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    text = np.repeat(of[edge], many)
+    last = np.repeat(np.cumsum(many) - 1, many)
+    at = np.arange(len(nth))
+    return np.repeat(edge, many) + nth * step, np.minimum(at + 1, last), np.minimum(at + 2, last), text
+
+
+def _minima(g: np.ndarray, start: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """The least value of each window."""
+    m = np.minimum.reduceat(g, start)
+    return np.minimum(np.minimum(m, m[second]), m[third])
 
 
 def _band(h: np.ndarray, band: int) -> np.ndarray:
@@ -190,25 +212,26 @@ def _hits(kind: T.DataType, shingle: int, count: int, sizes: list[int], wanted):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         overlap = 3 * max(sizes) // 2 + shingle
         for b in batches:
-            docs, values, sets = [], [], []
-            for k, block in ((k, block) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for block in blocks(spaced(t), overlap, max(1 << 20, 64 * overlap))):
-                h = Words(block).spans(shingle)
+            for keys, w, of in _joined(b, overlap):
+                h = w.spans(shingle)
+                inside = of[: len(h)] == of[shingle - 1 :]
+                h, of = h[inside], of[: len(h)][inside]
                 if not len(h):
                     continue
+                end = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
+                docs, values, sets = [], [], []
+                windows = {size: _windows(of, size) for size in sizes}
                 for band in range(count):
                     g = _band(h, band)
-                    for size in sizes:
-                        v = _value(_window_minima(g, size), band, size)
+                    for size, (start, second, third, text) in windows.items():
+                        v = _value(_minima(g, start, second, third), band, size)
                         for i in np.flatnonzero(wanted.value.hit(v)):
-                            s = int(i) * (size // 2)
-                            docs.append(k)
+                            s = int(start[i])
+                            docs.append(keys[text[i]])
                             values.append(v[i].astype(np.int64))
-                            sets.append(h[s : s + size + size // 2].view(np.int64))
-                if len(docs) >= 5_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, arrow), pa.array(values, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
-                    docs, values, sets = [], [], []
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, arrow), pa.array(values, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
+                            sets.append(h[s : min(s + size + size // 2, int(end[np.searchsorted(end, s, "right")]))].view(np.int64))
+                for s in range(0, len(docs), 5_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[s : s + 5_000], arrow), pa.array(values[s : s + 5_000], pa.int64()), pa.array(sets[s : s + 5_000], pa.list_(pa.int64()))], names=schema.names)
 
     return go, schema
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from strandloom.llm.leak import _window_minima, band_count, contained, leaks, minhashes, size_class
+from strandloom.llm.leak import _minima, _windows, band_count, contained, leaks, minhashes, size_class
 from strandloom.llm.words import Words, blocks, spaced
 
 
@@ -78,13 +78,15 @@ def test_minhash_is_one_of_the_window(spark):
 
 def test_windows_hold_every_run_of_their_class():
     g = np.arange(1000, dtype=np.uint64)[::-1].copy()
+    of = np.repeat([0, 3, 4], [497, 3, 500])
     for size in (4, 16, 64):
-        m = _window_minima(g, size)
-        step = size // 2
-        for i in range(0, 1000 - size + 1, 7):
-            k = min(i // step, len(m) - 1)
-            assert k * step <= i and m[k] <= g[i : i + size].min()
-    assert len(_window_minima(g[:3], 4)) == 1
+        start, second, third, text = _windows(of, size)
+        m = _minima(g, start, second, third)
+        assert list(of[start]) == list(text)
+        for i in range(1000):
+            e = min(i + size, np.searchsorted(of, of[i], "right"))  # a run of the class's size, or to the end of its text
+            k = np.flatnonzero((start <= i) & (text == of[i]))[-1]
+            assert m[k] <= g[i:e].min() and m[k] >= g[of == of[i]].min()
     assert band_count(0.8) == 19 and [size_class(n) for n in (1, 4, 5, 8, 9, 100)] == [4, 4, 8, 8, 16, 128]
 
 
