@@ -2,8 +2,9 @@
 
 A unit vector goes through pseudo-rotations (three rounds of random signs and a fast Hadamard transform) to its nearest
 signed axis; the axes of several rotations together are its bucket in a table. Each vector is indexed once in every table
-and also visits the buckets that its second-nearest axes at the least certain rotations give. In a bucket, products of
-eight-bit codes pick each vector's best few; these pairs, from all tables, are reranked on the exact vectors.
+and also visits the buckets whose axes are the next nearest over all the table's rotations together. Entries of a bucket to
+themselves end there; the others get eight-bit codes, products of which pick each vector's best few in the bucket; these
+pairs, from all tables, are reranked on the exact vectors.
 
 In buckets above ``bucket_rows`` every entry is compared with every resident: blocks of entries are held while all residents
 stream past in Arrow batches, so no task holds an unbounded bucket and no pair is dropped; this is quadratic in such a
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,7 @@ from pyspark.sql import types as T
 
 from strandloom.llm.topn import top_n_per_group
 from strandloom.llm.words import mix
-from strandloom.session import materialize, release_shuffles
-
-#: A list of hot buckets up to this size is broadcast (16 bytes each); a longer one is joined.
-HOT_BROADCAST = 100_000
+from strandloom.session import materialize
 
 
 def parse_vector(value: str | None, size: int | None = None) -> np.ndarray | None:
@@ -67,8 +66,7 @@ class Rotations:
         self.a, self.b = _hadamard(1 << (bits // 2)), _hadamard(1 << (bits - bits // 2))
         self.signs = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (count, 3, self.width))
 
-    def axes(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For rotation ``k``: the nearest and the second-nearest signed axis of each row, and how far apart they are."""
+    def turned(self, x: np.ndarray, k: int) -> np.ndarray:
         n = len(x)
         y = np.zeros((n, self.width), np.float32)
         y[:, : self.dim] = x
@@ -77,13 +75,18 @@ class Rotations:
             y = (y * s).reshape(n * la, lb) @ self.b
             y = np.ascontiguousarray(y.reshape(n, la, lb).transpose(0, 2, 1)).reshape(n * lb, la) @ self.a
             y = y.reshape(n, self.width) / np.float32(np.sqrt(self.width))
-        rows = np.arange(n)
-        size = np.abs(y)
-        first = size.argmax(axis=1)
-        top = size[rows, first].copy()
-        size[rows, first] = -1
-        second = size.argmax(axis=1)
-        return first * 2 + (y[rows, first] < 0), second * 2 + (y[rows, second] < 0), top - size[rows, second]
+        return y
+
+    def axes(self, x: np.ndarray, k: int, many: int) -> tuple[np.ndarray, np.ndarray]:
+        """For rotation ``k``: the ``many`` nearest signed axes of each row in order, and how much farther than the nearest."""
+        y = self.turned(x, k)
+        size, rows = np.abs(y), np.arange(len(x))
+        axis, gap = np.empty((len(x), many), np.int64), np.empty((len(x), many), np.float32)
+        for m in range(many):
+            at = size.argmax(axis=1)
+            axis[:, m], gap[:, m] = at * 2 + (y[rows, at] < 0), size[rows, at]
+            size[rows, at] = -1
+        return axis, gap[:, :1] - gap
 
 
 def _extend(key: np.ndarray, axis: np.ndarray) -> np.ndarray:
@@ -114,13 +117,13 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[start:end].view(dtype).reshape(len(column), -1)
 
 
-_VECTOR = [T.StructField("vec", T.BinaryType()), T.StructField("same", T.LongType())]
+_VECTOR = [T.StructField("vec", T.BinaryType()), T.StructField("code", T.BinaryType()), T.StructField("same", T.LongType())]
 
 
 def unit_vectors(df: DataFrame, key: str, vector_json: str, size: int | None, newest: str | None = None) -> DataFrame:
-    """(vid, key, vec, same): the distinct keys that have a vector, written to the shared folder.
+    """(vid, key, vec, code, same): the distinct keys that have a vector, written to the shared folder.
 
-    ``vec`` holds float32; ``same`` is a hash on which identical directions agree. Of several vectors of a key the newest
+    ``vec`` holds float32, ``code`` eight bits a number; ``same`` is a hash on which identical directions agree. Of several vectors of a key the newest
     (then the largest in bytes) stays. Null keys take no part.
     """
     at = F.col(newest) if newest else F.lit(0)
@@ -137,19 +140,27 @@ def unit_vectors(df: DataFrame, key: str, vector_json: str, size: int | None, ne
                 for c in fine.T:
                     h = mix(h * np.uint64(31) + c)
                 some = b.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), _binary(x.astype(np.float32)), pa.array(h.view(np.int64))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), _binary(x.astype(np.float32)), _binary(_codes(x)), pa.array(h.view(np.int64))], names=schema.names)
 
     stamp = F.unix_micros(at) if newest else at.cast("long")
     parsed = df.select(F.col(key).cast("string").alias("key"), stamp.alias("at"), F.col(vector_json)).where("key is not null").mapInArrow(run, schema)
-    newest_of = parsed.groupBy("key").agg(F.max(F.struct("at", "vec", "same")).alias("m"))
-    return materialize(newest_of.select(F.monotonically_increasing_id().alias("vid"), "key", "m.vec", "m.same"), "vectors")
+    newest_of = parsed.groupBy("key").agg(F.max(F.struct("at", "vec", "code", "same")).alias("m"))
+    return materialize(newest_of.select(F.monotonically_increasing_id().alias("vid"), "key", "m.vec", "m.code", "m.same"), "vectors")
 
 
-_ENTRY = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("vid", T.LongType()), T.StructField("visit", T.BooleanType()), T.StructField("code", T.BinaryType())])
+_ENTRY = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("vid", T.LongType()), T.StructField("visit", T.BooleanType())])
+_CODED = T.StructType([*_ENTRY.fields, T.StructField("code", T.BinaryType())])
 
 
 def _index(dim: int, depth: int, tables: int, visits: int, seed: int):
-    """Entries of each vector: one resident and ``visits`` visitors in every table."""
+    """Entries of each vector: one resident and ``visits`` visitors in every table.
+
+    Visitors go to the combinations of near axes over the table's rotations that are least far in all.
+    """
+    many = min(2 * dim, 2 if visits == 0 else max(2, min(visits + 1, 6 if depth < 3 else 4)))
+    combos = np.stack(np.meshgrid(*[np.arange(many)] * depth, indexing="ij"), axis=-1).reshape(-1, depth)
+    combos = combos[np.argsort(combos.sum(axis=1), kind="stable")]  # the first is the home
+    visits = min(visits, len(combos) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rot = Rotations(dim, tables * depth, seed)
@@ -157,19 +168,21 @@ def _index(dim: int, depth: int, tables: int, visits: int, seed: int):
             if not b.num_rows:
                 continue
             x = _matrix(b.column(1), np.float32)
-            codes = _codes(x)
+            rows = np.arange(len(x))
             buckets, visit = [], []
             for t in range(tables):
-                found = [rot.axes(x, t * depth + k) for k in range(depth)]
-                order = np.argsort(np.stack([gap for _, _, gap in found]), axis=0)
+                found = [rot.axes(x, t * depth + k, many) for k in range(depth)]
+                far = sum(gap[:, combos[:, k]] for k, (_, gap) in enumerate(found))
+                far[:, 0] = -1
+                order = np.argsort(far, axis=1, kind="stable")[:, : visits + 1]
                 for v in range(visits + 1):
                     key = np.full(len(x), t + 1, np.uint64)
-                    for k, (first, second, _) in enumerate(found):
-                        key = _extend(key, np.where(order[v - 1] == k, second, first) if v else first)
+                    for k, (axis, _) in enumerate(found):
+                        key = _extend(key, axis[rows, combos[order[:, v], k]])
                     buckets.append(key.view(np.int64))
                     visit.append(np.full(len(x), v > 0))
             n = tables * (visits + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.tile(b.column(0).to_numpy(), n)), pa.array(np.concatenate(visit)), _binary(np.tile(codes, (n, 1)))], names=_ENTRY.names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.tile(b.column(0).to_numpy(), n)), pa.array(np.concatenate(visit))], names=_ENTRY.names)
 
     return run
 
@@ -230,8 +243,10 @@ def _pairs(k: int, least: float, small: int = 48):
         def out(parts):
             a, b = whole(*(np.concatenate(c) for c in zip(*parts)))
             lo, hi = np.minimum(a, b), np.maximum(a, b)
-            both = np.unique(np.stack([lo, hi], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=_PAIR.names)
+            order = np.lexsort((hi, lo))
+            lo, hi = lo[order], hi[order]
+            new = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])][: len(lo)]
+            return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new])], names=_PAIR.names)
 
         for b in batches:
             if not b.num_rows:
@@ -324,17 +339,22 @@ def _pairs_in_blocks(k: int, least: float):
     return run
 
 
-def _candidates(entries: DataFrame, k: int, least: float, bucket_rows: int) -> DataFrame:
-    """Candidate pairs of all buckets; those of more than ``bucket_rows`` entries are compared in blocks, whole."""
-    hot = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows), "hot-buckets")
-    n = hot.limit(HOT_BROADCAST + 1).count()
-    side = F.broadcast(hot) if n <= HOT_BROADCAST else hot
-    cool = entries.join(side.select("bucket"), "bucket", "left_anti").select(*_ENTRY.names) if n else entries
+def _candidates(entries: DataFrame, codes: DataFrame, k: int, least: float, bucket_rows: int) -> DataFrame:
+    """Candidate pairs of all buckets; those of more than ``bucket_rows`` entries are compared in blocks, whole.
+
+    ``entries`` is a written table; only those that share a bucket with a resident other than themselves get their codes.
+    Sizes are counted before the shuffle, and a hot bucket's rows may be split in both joins.
+    """
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("visit")).alias("homes")).where("n > 1 and homes > 0")
+    kept = entries.join(sizes.select("bucket", "n"), "bucket")
+    coded = materialize(kept.join(codes.select("vid", "code"), "vid").select(*_CODED.names, "n"), "vector-entries-coded")
+    hot = coded.where(F.col("n") > bucket_rows)
+    cool = coded.where(F.col("n") <= bucket_rows).select(*_CODED.names)
     pairs = cool.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pairs(k, least), _PAIR)
-    if not n:
+    if hot.isEmpty():
         return pairs
     # Every entry is in one block of its bucket, and every resident goes to all blocks.
-    within = entries.join(side, "bucket").withColumn("blocks", F.ceil(F.col("n") / (2 * bucket_rows)).cast("long"))
+    within = hot.withColumn("blocks", F.ceil(F.col("n") / (2 * bucket_rows)).cast("long"))
     cell = F.xxhash64("bucket", "block")
     asks = within.withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks"))).select(cell.alias("cell"), F.lit(False).alias("home"), "vid", "code")
     homes = within.where(~F.col("visit")).select("bucket", "vid", "code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
@@ -342,20 +362,47 @@ def _candidates(entries: DataFrame, k: int, least: float, bucket_rows: int) -> D
     return pairs.unionByName(cells.repartition("cell").sortWithinPartitions("cell", "home").mapInArrow(_pairs_in_blocks(k, least), _PAIR))
 
 
+@dataclass(frozen=True)
+class Plan:
+    """How the index is laid out: rotations a table, tables, visited buckets a table besides the home."""
+
+    depth: int
+    tables: int
+    visits: int
+
+
+#: For neighbours of a cosine of 0.9 and more.
+NEAR = Plan(3, 4, 2)
+#: For neighbours however far, by depth. Measured on vectors whose fifth neighbour has a cosine of 0.54 in 64 dimensions.
+FAR = {1: Plan(1, 10, 1), 2: Plan(2, 14, 15), 3: Plan(3, 24, 47)}
+#: Residents a bucket should hold on average, at most, before a table takes one rotation more.
+RESIDENTS = 2_000
+
+
+def far_plan(n: int, dim: int, residents: int = RESIDENTS) -> Plan:
+    """The plan for ``n`` vectors without a bound on the cosine: as many rotations as keep buckets small, as every such index
+    must have more bits for more vectors; tables and visits make up for what a further rotation parts."""
+    axes = 2 << max(0, (dim - 1).bit_length())
+    depth = 1
+    while depth < max(FAR) and n > residents * axes**depth:
+        depth += 1
+    return FAR[depth]
+
+
 def similar(
     df: DataFrame, key: str, vector_json: str, *, k: int = 5, size: int | None = None, min_cosine: float | None = None, newest: str | None = None,
-    depth: int = 3, tables: int = 4, visits: int = 2, bucket_rows: int = 4096, levels: int = 4, seed: int = 11, dim: int | None = None,
+    plan: Plan | None = None, bucket_rows: int = 4096, seed: int = 11, dim: int | None = None,
 ) -> DataFrame:
     """(key, neighbour, cosine, rank): up to ``k`` other keys by descending cosine, ties by ascending key.
 
-    With ``min_cosine`` only neighbours at least so similar come out, and the buckets filter by it. Values that are no JSON
-    array of ``size`` finite numbers, or all zero, take no part; a key counts once. Recall depends on ``tables``, ``visits``
-    and ``depth`` and is measured in the tests; buckets of any size are compared whole, so ``bucket_rows`` does not change it
-    and ``levels``, once the number of further splits, has no effect. Extra columns are ignored; tables of no or one vector give no rows.
+    With ``min_cosine`` only neighbours at least so similar come out, and the buckets filter by it; ``plan`` is then ``NEAR``
+    unless given, else :func:`far_plan` of the number of vectors. Values that are no JSON array of ``size`` finite numbers, or
+    all zero, take no part; a key counts once. Recall depends on the plan and is measured in the tests; buckets of any size
+    are compared whole, so ``bucket_rows`` does not change it. Extra columns are ignored; tables of no or one vector give no
+    rows.
     """
     spark = df.sparkSession
     vectors = unit_vectors(df, key, vector_json, size, newest)
-    release_shuffles(spark)
     if dim is None:
         dim = size
     if dim is None:
@@ -374,11 +421,11 @@ def similar(
         few = stand.groupBy("same").agg(F.sort_array(F.collect_list("key")).alias("first"))  # k + 1 at most
         rest = members.join(stand.select("vid"), "vid", "left_anti").join(few, "same")
         mates = rest.select("key", F.posexplode(F.slice("first", 1, k)).alias("pos", "neighbour")).select("key", "neighbour", F.lit(1.0).alias("cosine"), (F.col("pos") + 1).alias("rank"))
-    visits = min(visits, depth)
+    if plan is None:
+        plan = NEAR if min_cosine is not None and min_cosine >= 0.9 else far_plan(vectors.count(), dim)
     least = -2.0 if min_cosine is None else min_cosine - 0.03  # more than the codes can err
-    entries = indexed.select("vid", "vec").mapInArrow(_index(dim, depth, tables, visits, seed), _ENTRY)
-    pairs = materialize(_candidates(entries, k + 3, least, bucket_rows).distinct(), "vector-pairs")
-    release_shuffles(spark)
+    entries = materialize(indexed.select("vid", "vec").mapInArrow(_index(dim, plan.depth, plan.tables, plan.visits, seed), _ENTRY), "vector-entries")
+    pairs = materialize(_candidates(entries, vectors, k + 3, least, bucket_rows).distinct(), "vector-pairs")
     left = vectors.select(F.col("vid").alias("a"), F.col("key").alias("key_a"), F.col("vec").alias("va"))
     right = vectors.select(F.col("vid").alias("b"), F.col("key").alias("key_b"), F.col("vec").alias("vb"))
     exact = T.StructType([T.StructField("key", T.StringType()), T.StructField("neighbour", T.StringType()), T.StructField("cosine", T.DoubleType())])

@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pytest
 
-from strandloom.llm.neighbours import Rotations, _hadamard, parse_vector, similar
+from strandloom.llm.neighbours import FAR, Plan, Rotations, _hadamard, far_plan, parse_vector, similar
 
 
 def clusters(n, dim, seed, spread=0.25):
@@ -36,8 +36,8 @@ def keys(df):
 def test_rotation_is_orthogonal():
     r = Rotations(48, 2)
     assert np.array_equal(_hadamard(8) @ _hadamard(8).T, 8 * np.eye(8))
-    first, second, gap = r.axes(np.random.default_rng(0).normal(size=(50, 48)).astype(np.float32), 1)
-    assert (first // 2 != second // 2).all() and (gap >= 0).all() and first.max() < 128
+    axis, gap = r.axes(np.random.default_rng(0).normal(size=(50, 48)).astype(np.float32), 1, 3)
+    assert (axis[:, 0] // 2 != axis[:, 1] // 2).all() and (np.diff(gap, axis=1) >= 0).all() and axis.max() < 128
 
 
 @pytest.mark.parametrize("bad", [None, "", "null", "[]", "[1,2", '["1", 2]', "[true, 1]", "[NaN, 1]", "[0, 0.0]", "[1e999, 1]", "{}", "[[1], 2]", "[1, 2, 3]", "[1%s, 2]" % ("0" * 400)])
@@ -49,12 +49,12 @@ def test_vectors():
     assert np.allclose(parse_vector("[3, 4e0]", 2), [0.6, 0.8]) and np.allclose(parse_vector("[3e-300, 4e-300]"), [0.6, 0.8])
 
 
-@pytest.mark.parametrize("rows,levels", [(4096, 4), (40, 1), (16, 0)])
-def test_recall_against_brute_force(spark, rows, levels):
+@pytest.mark.parametrize("rows", [4096, 40])
+def test_recall_against_brute_force(spark, rows):
     x = clusters(1200, 64, 1)
     want = brute(x, 5, 0.9)
     assert len(want) > 500
-    got = similar(frame(spark, x), "key", "v", k=5, size=64, min_cosine=0.9, bucket_rows=rows, levels=levels)
+    got = similar(frame(spark, x), "key", "v", k=5, size=64, min_cosine=0.9, bucket_rows=rows)
     pairs = keys(got)
     assert len(want & pairs) >= 0.9 * len(want)
     assert not {p for p in pairs - want if np.dot(x[p[0]], x[p[1]]) / np.linalg.norm(x[p[0]]) / np.linalg.norm(x[p[1]]) < 0.8999}
@@ -68,7 +68,7 @@ def test_crowded_region_in_blocks(spark):
     s = u @ u.T
     np.fill_diagonal(s, -2)
     fifth = np.sort(s, axis=1)[:, -5]
-    pairs = keys(similar(frame(spark, x), "key", "v", k=5, bucket_rows=40, levels=1))
+    pairs = keys(similar(frame(spark, x), "key", "v", k=5, bucket_rows=40))
     assert all(a != b and s[a, b] >= fifth[a] - 1e-3 for a, b in pairs)
     per = {}
     for a, _ in pairs:
@@ -88,11 +88,24 @@ def test_crowd_of_a_third_of_all_rows(spark):
 
 def test_without_threshold_full_lists(spark):
     x = clusters(400, 32, 3, 0.1)
-    pairs = keys(similar(frame(spark, x), "key", "v", k=3, depth=1, tables=6, visits=2))
+    pairs = keys(similar(frame(spark, x), "key", "v", k=3))
     want = brute(x, 3, -1)
     assert len(want & pairs) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("depth", [1, 2])
+def test_far_neighbours(spark, depth):
+    x = np.random.default_rng(depth).normal(size=(3000, 64)) * 0.96 ** np.arange(64)  # the fifth neighbour is at a cosine of about 0.5
+    got = similar(frame(spark, x), "key", "v", k=5, size=64, plan=FAR[depth]).toPandas()
+    want = brute(x, 5, -1)
+    assert len(want & set(zip(got.key.astype(int), got.neighbour.astype(int)))) >= 0.9 * len(want)
+    assert got.groupby("key").size().eq(5).mean() > 0.99
+
+
+def test_depth_follows_the_number_of_vectors():
+    assert [far_plan(n, 64).depth for n in (0, 256_000, 256_001, 10**8)] == [1, 1, 2, 3] and isinstance(far_plan(1, 1), Plan)
+
+
 def test_classes_of_identical_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 8))
