@@ -10,6 +10,7 @@ posterior exceeds the defect's cutoff.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator, Sequence
@@ -27,11 +28,11 @@ YES, NO, NONE = 1, 0, -1
 #: Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the of and in is was were are it its that this which who whom by with from for to has have had not be been as at on an a there their they both yes no according since although but so into through does do did what where when how i you",
-    "fr": "le la les l du des d un une et est a été sont était il elle ce cet cette qui que qu dans pour par avec sur au aux se s ne pas n après depuis selon son sa ses leur où quand oui non mais donc y en c dont tous deux je vous nous",
-    "de": "der die das den dem des ein eine einen einem einer und ist war wurde sind waren es er sie nicht im in von vom zu zum zur mit auf für nach bei aus als dass daß doch aber ja nein heute beide über durch wird hat dieses dieser diese am an ich darauf keine kein wer was wo",
-    "es": "el la los las un una y es fue son era está de del al que en por con para se no su sus lo le según entre esa ese esta este sí pero cuyo después desde ambos ha han sido a como dónde cuándo hay yo ninguno ninguna",
-    "it": "il lo la i gli le un uno una e è fu sono era del della dello dei degli delle di da dal dalla nel nella che si non per con su al alla questo questa entrambi sì no ma dopo secondo suo sua stato stata ha anno",
-    "pt": "o a os as um uma e é foi são era do da dos das de em no na nos nas que se não por com para ao à seu sua este esta ambos sim mas depois segundo pelo pela",
+    "fr": "le la les l du des d un une et est a été sont était il elle ce cet cette qui que qu dans pour par avec sur au aux se s ne pas n après depuis selon son sa ses leur où quand oui non mais donc y en c dont tous deux je vous nous quel quelle quels quelles année t",
+    "de": "der die das den dem des ein eine einen einem einer und ist war wurde sind waren es er sie nicht im in von vom zu zum zur mit auf für nach bei aus als dass daß doch aber ja nein heute beide über durch wird hat dieses dieser diese am an ich darauf keine kein wer was wo wohin wann man muss welche welcher welches welchem welchen",
+    "es": "el la los las un una y es fue son era está de del al que en por con para se no su sus lo le según entre esa ese esta este sí pero cuyo después desde ambos ha han sido a como dónde cuándo hay yo ninguno ninguna quién quiénes cuál cuáles qué año",
+    "it": "il lo la i gli le un uno una e è fu sono era del della dello dei degli delle di da dal dalla nel nella che si non per con su al alla questo questa entrambi sì no ma dopo secondo suo sua stato stata ha anno chi quale quali dove quando",
+    "pt": "o a os as um uma e é foi são era do da dos das de em no na nos nas que se não por com para ao à seu sua este esta ambos sim mas depois segundo pelo pela quem qual quais onde quando",
     "nl": "de het een en is was werd zijn van in op met voor door niet dat die dit deze er ook maar naar bij uit beide ja nee na volgens wordt heeft",
     "pl": "i w na z ze jest był była było to nie do się od po przez oraz który która oba tak ale",
 }
@@ -160,17 +161,17 @@ def votes(query: str, context: str, answer: str | None) -> dict[str, list[int]]:
     yes = {w for s in YES_WORDS.values() for w in s}
     content = [w for w in extra if (w[0].isdigit() or (w[0].isupper() and w.casefold() in cs and w.casefold() not in _BY_WORD)) or w.casefold() in yes]
 
-    empty = [YES if not raw.strip() else NO, YES if not text else NO, YES if not ak else NO]
+    # Each function looks at something else: what is left of the answer, and whether it speaks of the same things.
+    empty = [YES if not text else NO, NO if any(w in qs or w in cs for w in ak) else NONE]
 
-    phrase = bool(_REFUSAL.search(text))
-    polite = bool(_POLITE.search(text))
-    turned = bool(_TURN.search(text)) and bool(content)
+    # The wording, what the answer names, its manners, how it ends, and its length.
+    clause = _TURN.split(text)[-1]
     refusal = [
-        YES if phrase else NO,
-        NO if content else YES if phrase or polite else NONE,
-        YES if polite and not content else NONE,
-        NO if turned or not phrase and not polite else NONE,
-        NO if len(ak) <= 3 and not phrase else NONE,
+        YES if _REFUSAL.search(text) else NO,
+        NO if content else NONE,
+        YES if _POLITE.search(text) else NONE,
+        NO if clause != text and re.search(r"[A-ZÀ-Þ0-9]", clause.strip()[1:]) and not _REFUSAL.search(clause) else NONE,
+        NO if 0 < len(ak) <= 3 else NONE,
     ]
 
     bare = _ASKED.sub(" ", _COURTESY.sub(" ", text))
@@ -194,7 +195,8 @@ def votes(query: str, context: str, answer: str | None) -> dict[str, list[int]]:
         YES if tail.endswith("?") and cover >= 0.5 and not adds else NONE,
     ]
 
-    ql, _ = language(q)
+    ql, sure = language(q)
+    ql = ql if sure > 0 else None
     al, lead = language(text)
     special = _diacritics(text)
     short_yes = next((lang for lang, s in YES_WORDS.items() if ak and ak[0] in s), None)
@@ -232,24 +234,31 @@ def votes(query: str, context: str, answer: str | None) -> dict[str, list[int]]:
     return {"empty": empty, "refusal": refusal, "copied_question": copied, "other_language": other, "truncated": truncated}
 
 
-def grams_of(answer: str | None) -> tuple[list[str], str, str]:
-    """(keys of every n-gram, with its end mark, and of every word; the key of the last n-gram; the key of the last word)."""
+def _number(key: str) -> int:
+    return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def grams_of(answer: str | None) -> tuple[list[int], list[bool], int | None, int | None, bool]:
+    """(keys of every n-gram and every word, which of them end a sentence; the keys of the last n-gram and the last word, if
+    there are any; whether the last word begins with a digit). Keys are 64-bit hashes, whatever the length of a word."""
     text = unwrap(answer)
-    keys, last_gram, last_word = [], "", ""
+    keys, ends, last_gram, last_word, numeral = [], [], None, None, False
     parts = [s for s in _SENTENCE.split(text) if _WORD.search(s)]
     for n, s in enumerate(parts):
         m = _masked(s)
+        final = n == len(parts) - 1
         for i in range(1, len(m)):
-            gram = "g " + " ".join(m[max(0, i - 2) : i + 1])
-            keys.append(("1" if i == len(m) - 1 else "0") + gram)
-            if n == len(parts) - 1 and i == len(m) - 1:
-                last_gram = gram
+            keys.append(_number("g " + " ".join(m[max(0, i - 2) : i + 1])))
+            ends.append(i == len(m) - 1)
+        if final and len(m) > 1:
+            last_gram = keys[-1]
         words = [w.casefold() for w in _WORD.findall(s)]
-        final = n == len(parts) - 1
-        keys += ["0w " + w for w in (words[:-1] if final else words)]
+        for w in words[:-1] if final else words:
+            keys.append(_number("w " + w))
+            ends.append(False)
         if final:
-            last_word = "w " + words[-1]
-    return keys, last_gram, last_word
+            last_word, numeral = _number("w " + words[-1]), words[-1][0].isdigit()
+    return keys, ends, last_gram, last_word, numeral
 
 
 DEFECTS = ("empty", "refusal", "copied_question", "other_language", "truncated")
@@ -302,6 +311,23 @@ def em(patterns: Sequence[Sequence[int]], counts: Sequence[int], trust: dict[int
     return post, {"share": share, "rate": rate}
 
 
+def look_up(rows: DataFrame, key: str, stats: DataFrame, count: str, spread: Sequence[str], most: int = 512) -> DataFrame:
+    """``rows`` with the columns that ``stats`` (key, a count, and others) has for their ``key``, null where it has none.
+
+    Keys that hold more than a ``most``-th of all counted, of which there are fewer than ``most``, are broadcast. Only rows
+    of other keys meet theirs in a shuffle; rows that need none are spread by the columns ``spread``.
+    """
+    names = [c for c in stats.columns if c != "key"]
+    total = stats.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = stats.where(F.col(count) * most > total).select(F.col("key").alias(key), *(F.col(c).alias(f"__{c}") for c in names))
+    r = rows.join(F.broadcast(hot), key, "left")
+    settled = F.col(key).isNull() | F.col(f"__{count}").isNotNull()
+    r = r.withColumn("__kind", F.when(settled, 0).otherwise(1)).withColumn("__at", F.when(settled, F.xxhash64(*spread)).otherwise(F.col(key)))
+    cold = stats.where(F.col(count) * most <= total).select(F.lit(1).alias("__kind"), F.col("key").alias("__at"), *names)
+    out = r.join(cold, ["__kind", "__at"], "left")
+    return out.select(*rows.columns, *(F.coalesce(c, f"__{c}").alias(c) for c in names))
+
+
 def label_pairs(pairs: DataFrame, keys: Sequence[str], *, query: str = "query", context: str = "context", answer: str = "answer", cutoffs: dict[str, float] | None = None) -> DataFrame:
     """(keys, defect, posterior) of every label of every pair whose posterior exceeds its cutoff.
 
@@ -311,7 +337,8 @@ def label_pairs(pairs: DataFrame, keys: Sequence[str], *, query: str = "query",
     spark = pairs.sparkSession
     fields = [pairs.schema[k] for k in keys]
     vote_type = T.ArrayType(T.ByteType())
-    schema = T.StructType([*fields, *(T.StructField(f"v_{d}", vote_type) for d in DEFECTS), T.StructField("grams", T.ArrayType(T.StringType())), T.StructField("last_gram", T.StringType()), T.StructField("last_word", T.StringType()), T.StructField("stopped", T.BooleanType())])
+    more = [T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.BooleanType())), T.StructField("last_gram", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("numeral", T.BooleanType()), T.StructField("stopped", T.BooleanType())]
+    schema = T.StructType([*fields, *(T.StructField(f"v_{d}", vote_type) for d in DEFECTS), *more])
     k = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,21 +346,23 @@ def label_pairs(pairs: DataFrame, keys: Sequence[str], *, query: str = "query",
             rows = [(votes(q, c, a), grams_of(a)) for q, c, a in zip(*(b.column(k + i).to_pylist() for i in range(3)))]
             out = [b.column(i) for i in range(k)]
             out += [pa.array([v[d] for v, _ in rows], pa.list_(pa.int8())) for d in DEFECTS]
-            out += [pa.array([g[0] for _, g in rows], pa.list_(pa.string())), pa.array([g[1] for _, g in rows]), pa.array([g[2] for _, g in rows]), pa.array([v["truncated"][2] == NO for v, _ in rows])]
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.bool_())
+            out += [pa.array([g[i] for _, g in rows], kind) for i, kind in enumerate(kinds)]
+            out += [pa.array([v["truncated"][2] == NO for v, _ in rows])]
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     voted = materialize(pairs.select(*keys, F.col(query), F.col(context), F.col(answer)).mapInArrow(run, schema), "pair-votes")
-    marks = voted.select(F.explode("grams").alias("g")).select(F.substring("g", 2, 10_000).alias("key"), (F.substring("g", 1, 1) == "1").cast("int").alias("end"))
-    stats = marks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("end").alias("ends"))
-    with_gram = voted.drop("grams").join(stats.where("key like 'g %'").select(F.col("key").alias("last_gram"), F.col("n").alias("gn"), "ends"), "last_gram", "left")
-    both = with_gram.join(stats.where("key like 'w %'").select(F.col("key").alias("last_word"), F.col("n").alias("wn")), "last_word", "left")
+    marks = voted.select(F.explode(F.arrays_zip("grams", "ends")).alias("g")).select(F.col("g.grams").alias("key"), F.col("g.ends").cast("int").alias("end"))
+    stats = materialize(marks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("end").alias("ends")), "pair-grams")
+    with_gram = look_up(voted.drop("grams", "ends"), "last_gram", stats.select("key", F.col("n").alias("gn"), "ends"), "gn", keys)
+    both = look_up(with_gram, "last_word", stats.select("key", F.col("n").alias("wn")), "wn", keys)
     gn, ends, wn = F.coalesce("gn", F.lit(0)), F.coalesce("ends", F.lit(0)), F.coalesce("wn", F.lit(0))
     ratio = ends / F.greatest(gn, F.lit(1))
     byte = lambda x: F.lit(x).cast("byte")
     # These count the answer itself once, so a lone ending says nothing.
-    ending = F.when(F.col("stopped") | (F.col("last_gram") == ""), byte(NONE)).when((gn >= 8) & (ratio < 0.25), byte(YES)).when((gn >= 4) & (ratio > 0.5), byte(NO)).otherwise(byte(NONE))
+    ending = F.when(F.col("stopped") | F.col("last_gram").isNull(), byte(NONE)).when((gn >= 8) & (ratio < 0.25), byte(YES)).when((gn >= 4) & (ratio > 0.5), byte(NO)).otherwise(byte(NONE))
     known, prefix = F.get("v_truncated", F.lit(5)) == NO, F.get("v_truncated", F.lit(5)) == YES
-    unsure = F.col("stopped") | F.col("last_word").rlike(r"^(w \d.*)?$") | known
+    unsure = F.col("stopped") | F.col("last_word").isNull() | F.col("numeral") | known
     wordless = F.when(unsure, byte(NONE)).when((wn == 0) | (prefix & (wn < 3)), byte(YES)).otherwise(byte(NONE))
     full = both.withColumn("v_truncated", F.concat(F.slice("v_truncated", 1, 5), F.array(ending, wordless)))
     full = materialize(full.select(*keys, *(f"v_{d}" for d in DEFECTS)), "pair-votes-all")

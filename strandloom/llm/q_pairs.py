@@ -24,12 +24,17 @@ def p1_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The likeliest label of each pair, earlier in the order of DEFECTS at a tie; refusals of null queries are right answers."""
+    """The likeliest label of each pair, earlier in the order of DEFECTS at a tie; refusals of null queries are right answers.
+
+    A pair that is such a refusal has no defect at all: it has the sentence that a null query asks for, which may stay in one
+    language whatever the query's, and is then not to come out as an answer in another language.
+    """
     pairs = materialize(joined(spark, sf), "pairs")
     order = F.array_position(F.lit(list(DEFECTS)), F.col("defect"))
-    labels = label_pairs(pairs, KEYS).groupBy(*KEYS).agg(F.min(F.struct((-F.round("posterior", 2)).alias("p"), order.alias("o"), "defect")).alias("best"))
-    found = labels.join(pairs.select(*KEYS, "question_type"), KEYS).select(*KEYS, F.col("best.defect").alias("defect"), "question_type")
-    return found.where(~((F.col("defect") == "refusal") & (F.coalesce("question_type", F.lit("")) == "null_query"))).drop("question_type")
+    best = F.min(F.struct((-F.round("posterior", 2)).alias("p"), order.alias("o"), "defect")).alias("best")
+    labels = label_pairs(pairs, KEYS).groupBy(*KEYS).agg(best, F.bool_or(F.col("defect") == "refusal").alias("refuses"))
+    right = F.col("refuses") & (F.coalesce("question_type", F.lit("")) == "null_query")
+    return labels.join(pairs.select(*KEYS, "question_type"), KEYS).where(~right).select(*KEYS, F.col("best.defect").alias("defect"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_labels": p1_labels}

@@ -3,13 +3,13 @@ import random
 import numpy as np
 import pytest
 
-from strandloom.llm.pairs import NO, NONE, YES, em, label_pairs, language, unwrap, votes
+from strandloom.llm.pairs import NO, NONE, YES, em, grams_of, label_pairs, language, look_up, unwrap, votes
 
 
 @pytest.mark.parametrize("answer", [None, "", " \t", "—", "**", "...", "Answer: ", '{"answer": ""}', "[]", "{}", "<answer></answer>", "```json\n{}\n```", "​", '""', "null"])
 def test_nothing_inside(answer):
     assert unwrap(answer) == ""
-    assert votes("Who?", "c", answer)["empty"][1] == YES
+    assert votes("Who?", "c", answer)["empty"] == [YES, NONE]
 
 
 def test_unwrap_and_language():
@@ -73,3 +73,24 @@ def test_edge_cases(spark):
     got = {(r.id, r.defect) for r in label_pairs(df, ["id"]).collect()}
     assert {(1, "empty"), (2, "empty")} <= got
     assert label_pairs(df.limit(0), ["id"]).count() == 0
+
+
+def test_keys_do_not_depend_on_the_length_of_a_word():
+    keys, ends, gram, word, numeral = grams_of("It is " + "x" * 30_000)
+    assert len(keys) == len(ends) == 5 and gram == keys[2] and ends[2] and not numeral
+    assert word not in keys  # the last word is not among the words that answers go on from
+    assert grams_of(None) == ([], [], None, None, False) and grams_of("Ulm 1901")[4]
+
+
+def test_look_up_with_a_key_of_a_third_of_all_rows(spark):
+    rows = [(i, None if i % 3 == 0 else 7 if i % 3 == 1 else i) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, key_ long")
+    stats = spark.createDataFrame([(7, 5000, 3)] + [(k, 1, 0) for k in range(100, 800)], "key long, n long, ends long")
+    got = {r.id: (r.n, r.ends) for r in look_up(df, "key_", stats, "n", ["id"]).collect()}
+    assert got == {i: (None, None) if k is None else (5000, 3) if k == 7 else (1, 0) if 100 <= k < 800 else (None, None) for i, k in rows}
+    assert look_up(df, "key_", stats.limit(0), "n", ["id"]).count() == 900
+
+
+def test_query_language_of_questions():
+    assert language("En quelle année Arno a-t-il terminé la lampe ?")[0] == "fr"
+    assert language("Wohin muss man reisen, um die Uhr zu sehen?")[0] == "de"
