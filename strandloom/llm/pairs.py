@@ -168,7 +168,7 @@ def votes(query: str, context: str, answer: str | None) -> dict[str, list[int]]:
     clause = _TURN.split(text)[-1]
     refusal = [
         YES if _REFUSAL.search(text) else NO,
-        NO if content else NONE,
+        NO if content else YES if len(ak) > 2 else NONE,
         YES if _POLITE.search(text) else NONE,
         NO if clause != text and re.search(r"[A-ZÀ-Þ0-9]", clause.strip()[1:]) and not _REFUSAL.search(clause) else NONE,
         NO if 0 < len(ak) <= 3 else NONE,
@@ -267,8 +267,8 @@ CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copied_question": 0.5, "other_language
 
 
 #: (P(yes | defect), P(no | defect), P(yes | no defect)) that a function is believed to have at first; DEFAULT_TRUST where
-#: not given. Each sign of a break covers only some breaks.
-TRUST = {"truncated": {0: (0.35, 0.05, 0.002), 1: (0.35, 0.05, 0.002), 2: (0.05, 0.02, 0.02), 3: (0.3, 0.25, 0.05), 4: (0.1, 0.02, 0.02), 5: (0.35, 0.2, 0.12), 6: (0.35, 0.05, 0.004)}}
+#: not given. Each sign of a break covers only some breaks; few refusals are polite, and other answers name nothing either.
+TRUST = {"refusal": {1: (0.7, 0.05, 0.2), 2: (0.3, 0.02, 0.01), 3: (0.05, 0.05, 0.02), 4: (0.05, 0.05, 0.02)}, "truncated": {0: (0.35, 0.05, 0.002), 1: (0.35, 0.05, 0.002), 2: (0.05, 0.02, 0.02), 3: (0.3, 0.25, 0.05), 4: (0.1, 0.02, 0.02), 5: (0.35, 0.2, 0.12), 6: (0.35, 0.05, 0.004)}}
 DEFAULT_TRUST = (0.75, 0.05, 0.02)
 
 
