@@ -47,11 +47,23 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
 
+#: What marks a final answer, and what in scraped articles is newsletter and navigation furniture.
+BOXED = r"\\boxed\{([^{}]+(?:\{[^{}]*\}[^{}]*)*)\}"
+LABELLED = r"(?imsd)(?:(?:final\s+answer|@@ANSWER)\s*:|^[ \t]*answer[ \t]*:)[ \t]*(.+?)(?=\n[ \t]*\n|\z)"
+BOILERPLATE = (
+    r"(?s)^.*?\{\{ /verifyErrors \}\}.*?\{\{ /verifyErrors \}\}\s*",
+    r"(?s)skip past newsletter promotion.*?after newsletter promotion\s*",
+    r"(?md)^CLICK HERE TO .*\n?",
+    r"(?md)^APP USERS CLICK HERE\s*\n?",
+    r"(?md)^(?:WEEK \d+ [A-Z ]+|MORE [A-Z0-9 '/.-]+):.*\n(?:[^\n]*\|[^\n]*\n)?",
+)
+
+
 def final_answer(c: Column) -> Column:
     """The last boxed span, else the last labelled one, else the whole, trimmed."""
     text = F.coalesce(c, F.lit(""))
-    boxed = F.regexp_extract_all(text, F.lit(r"\\boxed\{([^{}]+(?:\{[^{}]*\}[^{}]*)*)\}"), F.lit(1))
-    labelled = F.regexp_extract_all(text, F.lit(r"(?imsd)(?:(?:final\s+answer|@@ANSWER)\s*:|^[ \t]*answer[ \t]*:)[ \t]*(.+?)(?=\n[ \t]*\n|\z)"), F.lit(1))
+    boxed = F.regexp_extract_all(text, F.lit(BOXED), F.lit(1))
+    labelled = F.regexp_extract_all(text, F.lit(LABELLED), F.lit(1))
     last = lambda a: F.element_at(a, -1)
     return u_trim(F.when(F.size(boxed) > 0, last(boxed)).when(F.size(labelled) > 0, last(labelled)).otherwise(text))
 
@@ -74,12 +86,16 @@ def fact_in(fact: Column, text: Column) -> Column:
     return (compact(fact) != "") & F.contains(compact(text), compact(fact))
 
 
+def near(f: Column, t: Column, f_words: Column, t_words: Column, coverage: float = 0.6) -> Column:
+    """Diagnostic rule on normalised texts and their words: either holds the other, or enough of the fact's distinct words occur."""
+    share = F.size(F.array_intersect(f_words, t_words)) / F.greatest(F.size(f_words), F.lit(1))
+    return (f != "") & (t != "") & (F.contains(t, f) | F.contains(f, t) | (share >= coverage))
+
+
 def fact_near(fact: Column, text: Column, coverage: float = 0.6) -> Column:
-    """Diagnostic rule on normalised texts: either holds the other, or enough of the fact's distinct words occur."""
+    """The diagnostic rule on plain texts."""
     f, t = normalise_answer(fact), normalise_answer(text)
-    words = F.array_distinct(tokens(f))
-    share = F.size(F.array_intersect(words, tokens(t))) / F.greatest(F.size(words), F.lit(1))
-    return (f != "") & (t != "") & (F.contains(t, f) | F.contains(f, t) | (share >= coverage))
+    return near(f, t, F.array_distinct(tokens(f)), tokens(t), coverage)
 
 
 def shares_token(a: Column, b: Column) -> Column:
@@ -104,13 +120,7 @@ def strip_thinking(c: Column) -> Column:
 
 def strip_boilerplate(c: Column) -> Column:
     """Newsletter and navigation furniture of scraped articles."""
-    for pattern in (
-        r"(?s)^.*?\{\{ /verifyErrors \}\}.*?\{\{ /verifyErrors \}\}\s*",
-        r"(?s)skip past newsletter promotion.*?after newsletter promotion\s*",
-        r"(?md)^CLICK HERE TO .*\n?",
-        r"(?md)^APP USERS CLICK HERE\s*\n?",
-        r"(?md)^(?:WEEK \d+ [A-Z ]+|MORE [A-Z0-9 '/.-]+):.*\n(?:[^\n]*\|[^\n]*\n)?",
-    ):
+    for pattern in BOILERPLATE:
         c = F.regexp_replace(c, pattern, "")
     return u_trim(c)
 

@@ -47,7 +47,8 @@ def block_top_k(queries: DataFrame, targets: DataFrame, k: int, *, query_block:
     tt = pa.int64() if isinstance(targets.schema["id"].dataType, T.LongType) else pa.string()
 
     def matrix(column) -> np.ndarray:
-        x = np.array(column.to_pylist(), np.float64)
+        flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+        x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
         length = np.sqrt((x * x).sum(axis=1, keepdims=True))
         return x / np.where(length == 0, 1, length)
 
@@ -66,8 +67,10 @@ def block_top_k(queries: DataFrame, targets: DataFrame, k: int, *, query_block:
             for i in range(len(p)):
                 if qg[s + i] is not None:
                     p[i, tg == qg[s + i]] = -np.inf
-                best = np.argsort(-p[i], kind="stable")[:k] if len(t) > k else np.argsort(-p[i], kind="stable")
-                best = best[np.isfinite(p[i, best])]
+                row = p[i]
+                some = np.flatnonzero(row >= np.partition(row, len(t) - k)[len(t) - k]) if len(t) > k else np.arange(len(t))  # ties with the last stay
+                best = some[np.argsort(-row[some], kind="stable")[:k]]
+                best = best[np.isfinite(row[best])]
                 a += [qid[s + i]] * len(best)
                 b += tid[best].tolist()
                 c += p[i, best].tolist()
@@ -98,31 +101,71 @@ def rank_within(df: DataFrame, by: list[str], order: list[Column], k: int | None
 HOT_ROWS = 5_000_000
 
 
-def rank_whole(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The 1-based place of every row in its group, whatever the size of the group; ``order`` must be total.
+def _hot_groups(df: DataFrame, by: list[str], hot_rows: int) -> DataFrame | None:
+    """The groups of more than ``hot_rows`` rows, or None: their list is short, as each has so many rows."""
+    from strandloom.session import materialize
+
+    hot = materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).drop("__n"), "hot-groups")
+    return None if hot.isEmpty() else hot
+
+
+def _flagged(df: DataFrame, by: list[str], hot: DataFrame) -> DataFrame:
+    same = [F.col(c).eqNullSafe(F.col(f"__h_{c}")) for c in by]
+    return df.join(F.broadcast(hot.select(*(F.col(c).alias(f"__h_{c}") for c in by), F.lit(True).alias("__hot"))), same, "left").drop(*(f"__h_{c}" for c in by))
+
+
+def _in_pieces(part: DataFrame, by: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """``part`` with the running sum of ``value`` in each group by ``order``, its groups in as many pieces as there are tasks.
 
-    Groups up to ``hot_rows`` go through a window. Larger ones are range-partitioned by group and order, so that one group
-    spreads over many tasks; a row's place is its place in its partition's part of the group, plus the sizes of the parts
-    before. The list of hot groups is short: each has more than ``hot_rows`` rows.
+    Groups are range-partitioned with their order; a piece sums its rows of a group in a stream, to which the sums of the
+    group's pieces before are added.
     """
     from pyspark.sql import Window as W
 
     from strandloom.session import materialize
 
-    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).drop("__n")
-    hot = materialize(hot, "hot-groups")
-    if hot.isEmpty():
-        return rank_within(df, by, order, None, name)
-    same = [F.col(c).eqNullSafe(F.col(f"__h_{c}")) for c in by]
-    flagged = df.join(hot.select(*(F.col(c).alias(f"__h_{c}") for c in by), F.lit(True).alias("__hot")), same, "left").drop(*(f"__h_{c}" for c in by))
-    rest = rank_within(flagged.where("__hot is null").drop("__hot"), by, order, None, name)
     keys = [F.col(c) for c in by]
-    part = flagged.where("__hot").drop("__hot").repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    part = materialize(part.withColumn("__part", F.spark_partition_id()).withColumn("__pos", F.monotonically_increasing_id()), "ranked-parts")
-    sizes = part.groupBy("__part", *by).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__rows"))
-    before = F.coalesce(F.sum("__rows").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("__before", before)
-    sizes = sizes.select(F.col("__part").alias("__s_part"), *(F.col(c).alias(f"__s_{c}") for c in by), "__first", "__before")
+    part = part.withColumn("__v", value).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__part", F.spark_partition_id())
+    within = W.partitionBy("__part", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    part = materialize(part.withColumn("__sum", F.sum("__v").over(within)), "ranked-parts")
+    sizes = part.groupBy("__part", *by).agg(F.sum("__v").alias("__all"))
+    before = F.coalesce(F.sum("__all").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("__before", before).select(F.col("__part").alias("__s_part"), *(F.col(c).alias(f"__s_{c}") for c in by), "__before")
     on = [F.col("__part") == F.col("__s_part"), *(F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in by)]
-    placed = part.join(sizes, on).select(*df.columns, (F.col("__pos") - F.col("__first") + F.col("__before") + 1).cast("int").alias(name))
-    return rest.unionByName(placed)
+    return part.join(F.broadcast(sizes), on).withColumn(name, F.col("__sum") + F.col("__before"))  # one row a piece and group
+
+
+def rank_whole(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", hot_rows: int = HOT_ROWS, *more: tuple[str, list[Column]]) -> DataFrame:
+    """The 1-based place of every row in its group, whatever the size of the group; ``order`` must be total.
+
+    Groups up to ``hot_rows`` go through a window; larger ones are ranked in pieces. ``more`` are further (name, order), for
+    which the groups are not counted again.
+    """
+    hot = _hot_groups(df, by, hot_rows)
+    orders = [(name, order), *more]
+    if hot is None:
+        for n, o in orders:
+            df = rank_within(df, by, o, None, n)
+        return df
+    flagged = _flagged(df, by, hot)
+    rest, part = flagged.where("__hot is null").drop("__hot"), flagged.where("__hot").drop("__hot")
+    columns = list(df.columns)
+    for n, o in orders:
+        rest = rank_within(rest, by, o, None, n)
+        part = _in_pieces(part, by, o, F.lit(1).cast("long"), "__place").select(*columns, F.col("__place").cast("int").alias(n))
+        columns.append(n)
+    return rest.unionByName(part)
+
+
+def running_whole(df: DataFrame, by: list[str], order: list[Column], value: Column, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The sum of ``value`` from the first row of the group to each, whatever the size of the group; ``order`` must be total."""
+    from pyspark.sql import Window as W
+
+    run = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    hot = _hot_groups(df, by, hot_rows)
+    if hot is None:
+        return df.withColumn(name, F.sum(value).over(run))
+    flagged = _flagged(df, by, hot)
+    rest = flagged.where("__hot is null").drop("__hot").withColumn(name, F.sum(value).over(run))
+    part = _in_pieces(flagged.where("__hot").drop("__hot"), by, order, value, "__run").select(*df.columns, F.col("__run").alias(name))
+    return rest.unionByName(part)

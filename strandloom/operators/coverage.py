@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.functions.vectors import HOT_ROWS, running_whole
 from strandloom.session import materialize
 
 
-def prefix(pool: DataFrame, fractions: DataFrame) -> DataFrame:
+def prefix(pool: DataFrame, fractions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(fraction, query_id, id): all starts and the first floor(f x extras) other candidates in saved order.
 
     ``pool``: query_id, id, ord, is_start; ``fractions``: fraction (a handful of rows).
     """
     other = (~F.col("is_start")).cast("int")
-    w = W.partitionBy("query_id")
-    p = pool.withColumn("nth", F.sum(other).over(w.orderBy("ord", "id").rowsBetween(W.unboundedPreceding, 0))).withColumn("extras", F.sum(other).over(w))
-    j = p.crossJoin(F.broadcast(fractions))
+    p = running_whole(pool, ["query_id"], [F.col("ord").asc(), F.col("id").asc()], other, "nth", hot_rows)
+    extras = pool.groupBy("query_id").agg(F.sum(other).alias("extras"))
+    j = p.join(extras, "query_id").crossJoin(F.broadcast(fractions))
     return j.where(F.col("is_start") | (F.col("nth") <= F.floor(F.col("fraction") * F.col("extras")))).select("fraction", "query_id", "id")
 
 

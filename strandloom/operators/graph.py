@@ -140,3 +140,61 @@ def capacity(vectors: DataFrame, vector: str, chunks: DataFrame) -> DataFrame:
     v = vectors.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size(vector), F.lit(0))).alias("e")).select("n", (8 * F.col("e") + 8 * F.col("n")).alias("b"))
     c = chunks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("e")).select("n", (F.col("e") + 8 * F.col("n")).alias("b"))
     return v.unionByName(c).agg(F.sum("n").alias("records"), F.sum("b").alias("logical_bytes"))
+
+
+def shared_texts(rows: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    """(text_class, key, copies, sources) of rows whose text, case and outer blanks aside, more than one source has.
+
+    Classes are counted before the shuffle. Sizes come back by a join on the class, which AQE may split; no pairs are made.
+    """
+    t = rows.where(F.trim(text) != "").select(F.md5(F.lower(F.trim(text))).alias("text_class"), F.col(key), F.col(source).alias("__s"))
+    per = t.groupBy("text_class", "__s").agg(F.count(F.lit(1)).alias("n"))
+    g = per.groupBy("text_class").agg(F.sum("n").alias("copies"), F.count("__s").alias("sources")).where("sources > 1")
+    return t.join(g, "text_class").select("text_class", key, "copies", "sources")
+
+
+def statistics(chunks: DataFrame, questions: DataFrame, hop: DataFrame, answered_by: DataFrame) -> DataFrame:
+    """One row: counts of documents, passages, questions and edges, coverage ratios, averages and degrees of an index.
+
+    ``chunks``: id, source; ``questions``: id, chunk_id, channel. Ratios over nothing are 0.
+    """
+    over = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    c = chunks.agg(F.count_distinct("source").alias("total_documents"), F.count_distinct("id").alias("total_chunks"))
+    minus, plus = F.col("channel") == "q_minus", F.col("channel") == "q_plus"
+    owned = questions.join(chunks.select(F.col("id").alias("chunk_id")).distinct(), "chunk_id", "left_semi")
+    q = owned.agg(*(F.count_distinct(F.when(k, F.col(x))).alias(f"{n}_{y}") for n, k in (("q_minus", minus), ("q_plus", plus)) for x, y in (("id", "questions"), ("chunk_id", "chunks"))))
+    linked = answered_by.select("qplus_id").distinct().join(questions.where(plus).select(F.col("id").alias("qplus_id")), "qplus_id", "left_semi").agg(F.count(F.lit(1)).alias("linked_q_plus_questions"))
+    e = hop.agg(F.count(F.lit(1)).alias("total_hop_edges"), F.count_if(F.size("source_question_ids") < 1).alias("hop_without_provenance"))
+    degree = hop.groupBy("src_id").agg(F.count(F.lit(1)).alias("d")).agg(F.coalesce(F.max("d"), F.lit(0)).alias("max_hop_out_degree"))
+    a = answered_by.agg(F.count(F.lit(1)).alias("answered_by_edges"))
+    j = c
+    for one in (q, linked, e, degree, a):  # single rows
+        j = j.crossJoin(F.broadcast(one))
+    return j.withColumns({
+        "avg_chunks_per_doc": over("total_chunks", "total_documents"), "q_minus_coverage": over("q_minus_chunks", "total_chunks"), "q_plus_coverage": over("q_plus_chunks", "total_chunks"),
+        "avg_q_minus_per_covered_chunk": over("q_minus_questions", "q_minus_chunks"), "avg_q_plus_per_covered_chunk": over("q_plus_questions", "q_plus_chunks"),
+        "q_plus_direction_coverage": over("linked_q_plus_questions", "q_plus_questions"), "avg_hop_out_degree_per_eligible_chunk": over("total_hop_edges", "q_plus_chunks"),
+        "avg_hop_out_degree_per_chunk": over("total_hop_edges", "total_chunks"),
+    })
+
+
+def pool_sizes(questions: DataFrame) -> DataFrame:
+    """(source, pool): how wide an approximate search must be so that a foreign question is in it: one's own and one more."""
+    return questions.groupBy("source").agg((F.count(F.lit(1)) + 1).alias("pool"))
+
+
+def reciprocal_ids(matches: DataFrame) -> DataFrame:
+    """(src_id, dst_id, reciprocal_ids): per edge the questions whose answer leads back to them, in ascending order."""
+    ids = F.array_sort(F.collect_set(F.when(F.col("reciprocal"), F.col("qplus_id"))))  # questions of one passage
+    return matches.groupBy("src_id", "dst_id").agg(ids.alias("reciprocal_ids"))
+
+
+def bridges(starts: DataFrame, hop: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, id, bridge_embeddings): embeddings of the questions behind the hops that lead from starts to passages that
+    are no starts, once each in order of the question. ``hop``: src_id, dst_id, source_question_ids; ``questions``: id, embedding."""
+    s = starts.select("query_id", F.col("id").alias("src_id"))
+    way = s.join(hop.select("src_id", "dst_id", F.explode("source_question_ids").alias("qid")), "src_id").select("query_id", F.col("dst_id").alias("id"), "qid").distinct()
+    way = way.join(starts.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    e = way.join(questions.where("embedding is not null and size(embedding) > 0").select(F.col("id").alias("qid"), "embedding"), "qid")
+    inner = F.array_sort(F.collect_list(F.struct("qid", "embedding")))
+    return e.groupBy("query_id", "id").agg(F.array_distinct(F.transform(inner, lambda x: x["embedding"])).alias("bridge_embeddings"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.text import abstains, document_key, fact_in, fact_near, final_answer, normalise_answer, shares_token, tokens, u_collapse
+from strandloom.functions.text import abstains, compact, document_key, final_answer, near, normalise_answer, shares_token, tokens, u_collapse
 from strandloom.functions.vectors import rank_within
 
 
@@ -57,8 +57,9 @@ def answer_label(em: Column, null_refusal: Column, error: Column) -> Column:
 def fact_hits(retrieved: DataFrame, gold: DataFrame) -> DataFrame:
     """(query_id, fact_ix, compact_fact, rank): where each fact is found. ``retrieved``: query_id, rank, text; ``gold``: query_id, facts."""
     g = gold.select("query_id", F.posexplode("facts").alias("fact_ix", "fact")).where(F.trim("fact") != "")
-    j = retrieved.join(g, "query_id").where(fact_in(F.col("fact"), F.col("text")))
-    return j.select("query_id", "fact_ix", F.translate("fact", " \n", "").alias("compact_fact"), "rank")
+    g = g.select("query_id", "fact_ix", compact(F.col("fact")).alias("compact_fact")).where("compact_fact <> ''")
+    r = retrieved.select("query_id", "rank", compact(F.col("text")).alias("__body"))  # once a passage, before it meets its facts
+    return r.join(g, "query_id").where(F.contains("__body", "compact_fact")).select("query_id", "fact_ix", "compact_fact", "rank")
 
 
 def ranking_metrics(retrieved: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (4, 10), cut: int = 10) -> DataFrame:
@@ -88,8 +89,10 @@ def ranking_metrics(retrieved: DataFrame, gold: DataFrame, ks: tuple[int, ...] =
 def fuzzy_recall(retrieved: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, evidence_fact_recall): share of facts near any of the first ``k`` texts."""
     g = gold.select("query_id", F.posexplode("facts").alias("fact_ix", "fact")).where(F.trim("fact") != "")
-    r = retrieved.where(F.col("rank") <= k).select("query_id", "text")
-    hit = g.join(r, "query_id").where(fact_near(F.col("fact"), F.col("text"))).select("query_id", "fact_ix").distinct().withColumn("hit", F.lit(1))
+    r = retrieved.where(F.col("rank") <= k).select("query_id", normalise_answer(F.col("text")).alias("t"))
+    r = r.withColumn("t_words", tokens(F.col("t")))
+    n = g.withColumn("f", normalise_answer(F.col("fact"))).withColumn("f_words", F.array_distinct(tokens(F.col("f")))).drop("fact")
+    hit = n.join(r, "query_id").where(near(*(F.col(c) for c in ("f", "t", "f_words", "t_words")))).select("query_id", "fact_ix").distinct().withColumn("hit", F.lit(1))
     j = g.join(hit, ["query_id", "fact_ix"], "left")
     return j.groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("evidence_fact_recall"))
 

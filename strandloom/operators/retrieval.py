@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions.text import node_identity
-from strandloom.functions.vectors import HOT_ROWS, bridged, cosine, rank_whole, rank_within
+from strandloom.functions.vectors import HOT_ROWS, bridged, cosine, rank_whole, rank_within, running_whole
+from strandloom.session import materialize
 
 K = 12
 #: Children searched for each owner wanted: three questions a passage, the body itself.
@@ -24,7 +24,7 @@ def owner_collapse(hits: DataFrame, limit: int) -> DataFrame:
     return rank_within(g, ["query_id"], [F.col("score").desc(), F.col("owner_id").asc()], limit)
 
 
-def hybrid(hits: DataFrame, limit: int) -> DataFrame:
+def hybrid(hits: DataFrame, limit: int | None) -> DataFrame:
     """(query_id, channel, id, rrf, matched, rank): vector and text hits of a channel by sum of 1/rank.
 
     ``hits``: query_id, channel, type, id, score, matched (array). Ranks within a modality: score down, id up.
@@ -61,8 +61,8 @@ def rank_fusion(candidates: DataFrame, k: int | None = K, *, weight: float | Non
     ``weight`` w gives ``w * first + (1-w) * second``; ``representation_only`` and ``similarity_only`` order by one rank.
     """
     final, rep = F.coalesce("final_score", F.lit(0.0)), F.coalesce("representation_score", F.lit(0.0))
-    c = rank_whole(candidates, list(by), [final.desc(), F.col("id").desc()], "semantic_rank", hot_rows)
-    c = rank_whole(c, list(by), [rep.desc(), F.col("id").desc()], "representation_rank", hot_rows)
+    c = materialize(candidates, "fusion-pool")  # counted, then ranked twice
+    c = rank_whole(c, list(by), [final.desc(), F.col("id").desc()], "semantic_rank", hot_rows, ("representation_rank", [rep.desc(), F.col("id").desc()]))
     sem = reciprocal(F.col("semantic_rank"))
     inh = F.when(rep > 0, reciprocal(F.col("representation_rank"))).otherwise(0.0)
     c = c.withColumn("rank_fusion_score", sem + inh if weight is None else weight * sem + (1 - weight) * inh)
@@ -74,11 +74,30 @@ def rank_fusion(candidates: DataFrame, k: int | None = K, *, weight: float | Non
     return rank_within(c, list(by), order, k)
 
 
+def raw_scores(hits: DataFrame, edges: DataFrame | None = None, decay: float = 0.5) -> DataFrame:
+    """(query_id, id, raw_score, direct): the sum of a passage's own channel scores instead of its ranks in them.
+
+    ``hits``: query_id, channel, id, rrf, as :func:`hybrid` gives them. With ``edges`` (src_id, dst_id) a passage that no
+    channel found has the best decayed score of a found neighbour.
+    """
+    own = hits.groupBy("query_id", "id").agg(F.sum("rrf").alias("raw_score"))
+    direct = own.withColumn("direct", F.lit(True))
+    if edges is None:
+        return direct
+    near = own.withColumnRenamed("id", "src_id").join(edges.select("src_id", F.col("dst_id").alias("id")), "src_id")
+    near = near.groupBy("query_id", "id").agg((F.max("raw_score") * decay).alias("raw_score")).join(own.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return direct.unionByName(near.withColumn("direct", F.lit(False)))
+
+
 def select_variants(candidates: DataFrame, k: int = K) -> DataFrame:
-    """The first ``k`` of each deterministic order over one pool, tagged by ``variant``; cut before any source dedupe."""
-    names = {"fused": "fusion", "representation": "representation_only", "raw": "similarity_only"}
-    parts = [rank_fusion(candidates, k, variant=v).select(F.lit(n).alias("variant"), "query_id", "id", "rank") for n, v in names.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """(variant, query_id, id, rank): the first ``k`` of each deterministic order over one pool; cut before any source dedupe.
+
+    ``raw`` orders by ``raw_score`` (null as 0), then by id, both down. The pool is written and ranked once for the others.
+    """
+    c = rank_fusion(candidates, None)
+    first = lambda d, name, rank: d.where(F.col(rank) <= k).select(F.lit(name).alias("variant"), "query_id", "id", F.col(rank).alias("rank"))
+    raw = rank_within(c.drop("rank"), ["query_id"], [F.coalesce("raw_score", F.lit(0.0)).desc(), F.col("id").desc()], k)
+    return first(c, "fused", "rank").unionByName(first(c, "representation", "representation_rank")).unionByName(first(raw, "raw", "rank"))
 
 
 def ranking_pool(candidates: DataFrame) -> DataFrame:
@@ -115,14 +134,13 @@ def channel_filter(hits: DataFrame, variant: str = "full") -> DataFrame:
     return hits if variant == "full" else hits.where("channel = 'body'")
 
 
-def token_prefix(ranked: DataFrame, budget: int, *, tokens: str = "tokens", keep: str | None = None) -> DataFrame:
+def token_prefix(ranked: DataFrame, budget: int | Column, *, tokens: str = "tokens", keep: str | None = None, by: tuple[str, ...] = ("query_id",), hot_rows: int = HOT_ROWS) -> DataFrame:
     """The longest whole-passage prefix of each query's ranking within ``budget`` tokens; it stops at the first overflow.
 
-    With ``keep``, rows where it is true are admitted first and always.
+    ``budget`` is a number or a column that is one value a query. With ``keep``, rows where it is true are admitted first and
+    always. Null and negative sizes count as 0, so the running sum never falls and its first overflow ends the prefix.
     """
-    must = F.col(keep) if keep else F.lit(False)
-    order = [must.desc(), F.col("rank").asc()]
-    run = W.partitionBy("query_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    used = F.sum(F.coalesce(F.col(tokens), F.lit(0))).over(run)
-    c = ranked.withColumn("used_tokens", used).withColumn("__over", ((used > budget) & ~must).cast("int"))
-    return c.withColumn("__over", F.max("__over").over(run)).where(must | (F.col("__over") == 0)).drop("__over")
+    must = F.coalesce(F.col(keep), F.lit(False)) if keep else F.lit(False)
+    size = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("long")
+    c = running_whole(ranked, list(by), [must.desc(), F.col("rank").asc()], size, "used_tokens", hot_rows)
+    return c.where(must | (F.col("used_tokens") <= budget))

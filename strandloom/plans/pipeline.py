@@ -55,7 +55,7 @@ def build(index: Index, docs: DataFrame, metadata: DataFrame | None = None, opti
     """Index ``docs(source, content)``; gives the failures (source, failure). Hops are built when every passage is there."""
     o = options or Options()
     index.write("index_snapshot", store.snapshot_row(index.spark, "graph", index.namespace, "in_progress"))
-    chunks = corpus.chunk(corpus.parse_pages(docs, "source", "content"), o.window)
+    chunks = corpus.chunk_documents(docs, "source", "content", o.window)
     if metadata is not None:
         chunks = corpus.with_metadata(chunks, metadata)
     chunks = index.write("chunk_text", chunks)
@@ -122,7 +122,14 @@ def retrieve(index: Index, queries: DataFrame, options: Options | None = None) -
         both = nxt.unionByName(nxt.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))).unionByName(hop).distinct()
         pool = graph.neighbourhoods(pool, both, o.depth, o.decay)
     c = pool.join(index.read("chunk").select("id", "source", "title", "page", "sent_id", "text", "embedding"), "id")
-    scored = retrieval.score_bodies(c.withColumn("bridge_embeddings", F.array().cast("array<array<double>>")), q, o.semantics)
+    if o.semantics == "bridge" and o.depth > 0:
+        b = graph.bridges(direct.select("query_id", "id"), index.read("edge_hop").where(F.lit(o.edges in ("full", "hop_only"))), index.read("question"))
+        c = c.join(b, ["query_id", "id"], "left")
+        none = F.array().cast(b.schema["bridge_embeddings"].dataType)
+        c = c.withColumn("bridge_embeddings", F.coalesce("bridge_embeddings", none))
+    else:
+        c = c.withColumn("bridge_embeddings", F.array().cast("array<array<double>>"))
+    scored = retrieval.score_bodies(c, q, o.semantics)
     top = retrieval.rank_fusion(scored, o.k, variant=o.order)
     return retrieval.dependency_free(retrieval.unique_sources(top))
 

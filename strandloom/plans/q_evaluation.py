@@ -146,23 +146,10 @@ def extracted_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("support_projection", r"""
 with ok as (select distinct source_id, title, from_json(case when json_valid(sentences) and json_type(sentences) = 'ARRAY' then sentences end, '["VARCHAR"]') x from paragraphs),
-p as (select source_id pid, title, trim(regexp_replace(substr(array_to_string(x, ''), 1, 400), '[\s\x0b\x85\p{Z}]+', ' ', 'g')) body from ok where x is not null),
-s as (select source_id, title, i idx, trim(regexp_replace(x[i + 1], '[\s\x0b\x85\p{Z}]+', ' ', 'g')) needle from (select source_id, title, x, unnest(range(0, len(x))) i from ok))
-select distinct pid as passage_id, s.title, cast(idx as integer) as idx from p join s on s.source_id = p.pid where needle <> '' and contains(body, needle)""")
-def support_projection(spark: SparkSession, sf: str) -> DataFrame:
-    """The sentences that the first 400 characters of each paragraph hold whole."""
-    s = corpus.sentences_of(table(spark, sf, "paragraphs"))
-    raw = table(spark, sf, "paragraphs").select("source_id", "title", F.from_json("sentences", "array<string>").alias("x")).where("x is not null").distinct()
-    passages = raw.select(F.col("source_id").alias("passage_id"), "source_id", "title", u_collapse(F.substring(F.array_join("x", ""), 1, 400)).alias("text"))
-    return metrics.project_sentences(passages, s)
-
-
-@register("support_projection_whole", r"""
-with ok as (select distinct source_id, title, from_json(case when json_valid(sentences) and json_type(sentences) = 'ARRAY' then sentences end, '["VARCHAR"]') x from paragraphs),
 p as (select source_id pid, trim(regexp_replace(array_to_string(x, ''), '[\s\x0b\x85\p{Z}]+', ' ', 'g')) body from ok where x is not null),
 s as (select source_id, title, i idx, trim(regexp_replace(x[i + 1], '[\s\x0b\x85\p{Z}]+', ' ', 'g')) needle from (select source_id, title, x, unnest(range(0, len(x))) i from ok))
 select distinct pid as passage_id, s.title, cast(idx as integer) as idx from p join s on s.source_id = p.pid where needle <> '' and contains(body, needle)""")
-def support_projection_whole(spark: SparkSession, sf: str) -> DataFrame:
+def support_projection(spark: SparkSession, sf: str) -> DataFrame:
     """The sentences that each paragraph's whole text holds."""
     s = corpus.sentences_of(table(spark, sf, "paragraphs"))
     raw = table(spark, sf, "paragraphs").select("source_id", "title", F.from_json("sentences", "array<string>").alias("x")).where("x is not null").distinct()
@@ -346,13 +333,33 @@ def mask_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return stats.mask_coverage(g.withColumn("arm", F.lit("graph")), h).withColumn("covered", F.col("covered").cast("long"))
 
 
-@register("greedy_admission")
+@register("greedy_admission", f"""
+with {_UNITS} sz as (select id, floor(max(length(text)) / 4) tok from chunks group by id having max(length(text)) is not null),
+pu as (select query_id, unit, id, tok, row_number() over (partition by query_id, unit order by tok, id) k from gp join hits using (query_id, id) join sz using (id)),
+o as (select distinct query_id, id, tok from pu where k = 1), r as (select *, sum(tok) over (partition by query_id order by tok, id rows unbounded preceding) used from o)
+select query_id, id from r where used <= 600""")
 def greedy_admission(spark: SparkSession, sf: str) -> DataFrame:
     _, _, g, _, h = pools(spark, sf)
     size = table(spark, sf, "chunks").groupBy("id").agg(F.floor(F.max(F.length("text")) / 4).alias("tokens"))
     return stats.greedy_cover(g.join(h, ["query_id", "id"]).join(size, "id"), 600)
 
 
+@register("link_supply", f"""
+with {_UNITS} u as (select query_id, count(distinct unit) n from hits group by query_id), s0 as (select query_id, count(distinct unit) b from hits join st using (query_id, id) group by query_id),
+arm as (select query_id, id, 'graph' arm from gp union all select query_id, id, 'direct' from dp), pr as (select query_id, arm, id, row_number() over (partition by query_id, arm order by md5('7|' || query_id || '|' || id), id) k from arm),
+cv as (select query_id, arm, count(distinct unit) filter (where (query_id, unit) not in (select h2.query_id, h2.unit from hits h2 join st using (query_id, id))) added from pr join hits using (query_id, id) where k <= 3 group by query_id, arm)
+select query_id, arm, round(added / n, 6) as added_recall, cast(coalesce(b, 0) + added = n as int) - cast(coalesce(b, 0) = n as int) + 0.0 as complete_gain, case when added > 0 then 1.0 else 0.0 end as any_new
+from cv join u using (query_id) left join s0 using (query_id)""")
+def link_supply(spark: SparkSession, sf: str) -> DataFrame:
+    """What three passages sampled from the graph pool and from the direct pool add to the starts; shared priorities."""
+    _, s, g, d, h = pools(spark, sf)
+    both = g.withColumn("arm", F.lit("graph")).unionByName(d.withColumn("arm", F.lit("direct")))
+    budgets = both.groupBy("query_id", "arm").count().groupBy("query_id").agg(F.least(F.lit(3), F.min("count")).alias("budget"))
+    samples = stats.coupled_sample(both, budgets, 7).withColumn("repeat", F.lit(0))
+    v = stats.link_supply(s, samples, h, h.groupBy("query_id").agg(F.count_distinct("unit").alias("units")))
+    return _round(v.drop("repeat"), "added_recall")
+
+
 @register("sequence_gaps", "select count(*) as gaps from (select event_id, lag(event_id) over (partition by user_id order by event_id) p from events) where p is not null and event_id <> p + 1")
 def sequence_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return store.sequence_gaps(table(spark, sf, "events"), "user_id", "event_id").agg(F.count(F.lit(1)).alias("gaps"))

@@ -29,30 +29,36 @@ with s as (select doc_id, {_sent('text')} s from documents),
 w as (select doc_id, i // 6 as sent_id, array_to_string(s[i + 1 : i + 6], ' ') txt from (select doc_id, s, unnest(range(0, len(s), 6)) i from s))
 select doc_id, cast(sent_id as integer) as sent_id, md5(doc_id || '-' || doc_id || '-' || sent_id) as id, md5(txt) as text_md5 from w""")
 def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    pages = d.select(F.col("doc_id").alias("source"), F.col("doc_id").cast("string").alias("title"), F.lit(0).alias("page_no"), F.lit(1).alias("page"), F.col("text").alias("content"))
-    return corpus.chunk(pages).select(F.col("source").alias("doc_id"), "sent_id", "id", F.md5("text").alias("text_md5"))
+    c = corpus.chunk_documents(table(spark, sf, "documents"), "doc_id", "text", paged=False)
+    return c.select(F.col("source").alias("doc_id"), "sent_id", "id", F.md5("text").alias("text_md5"))
 
 
-
-
-@register("parsed_pages", rf"""
-with a as (select doc_id, coalesce(text, '') t from documents),
+_PAGES = rf"""
+a as (select doc_id, coalesce(text, '') t from documents),
 b as (select doc_id, case when regexp_matches(t, '^Title: ([^\n]*)(\n|$)') then {_trim(r"regexp_extract(t, '^Title: ([^\n]*)', 1)")} else cast(doc_id as varchar) end title, regexp_replace(t, '^Title: ([^\n]*)(\n|$)', '') t from a),
 c as (select doc_id, title, regexp_replace(t, '^\s*Paragraph-ID: ([^\n]*)(\n|$)', '') t from b),
 p as (select doc_id, title, t, list_zip(regexp_extract_all(t, '(?i)-+ Page (\d+) -+', 1), list_transform(string_split_regex(t, '(?i)-+ Page \d+ -+')[2:], lambda x: {_trim('x')})) z from c),
 q as (select doc_id, title, t, list_filter(z, lambda x: x[2] <> '') z from p),
-r as (select doc_id, title, unnest(case when len(z) > 0 then list_transform(z, lambda x: {{'page': cast(x[1] as integer), 'content': x[2]}}) else [{{'page': 1, 'content': {_trim(r"regexp_replace(t, '(?i)-+ Page \d+ -+', '', 'g')")}}}] end) u from q)
-select doc_id, title, u.page as page, length(u.content) as n_chars, md5(u.content) as content_md5 from r""")
+pl as (select doc_id, title, case when len(z) > 0 then list_transform(z, lambda x: {{'page': cast(x[1] as integer), 'content': x[2]}}) else [{{'page': 1, 'content': {_trim(r"regexp_replace(t, '(?i)-+ Page \d+ -+', '', 'g')")}}}] end u from q),
+r as (select doc_id, title, page_no, u[page_no] u from (select doc_id, title, u, unnest(range(1, len(u) + 1)) page_no from pl))
+"""
+
+
+@register("parsed_pages", f"with {_PAGES} select doc_id, title, u.page as page, length(u.content) as n_chars, md5(u.content) as content_md5 from r")
 def parsed_pages(spark: SparkSession, sf: str) -> DataFrame:
     p = corpus.parse_pages(table(spark, sf, "documents"), "doc_id", "text")
     return p.select(F.col("source").alias("doc_id"), "title", "page", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
-@register("document_chunks")
+@register("document_chunks", rf"""
+with {_PAGES}, se as (select doc_id, title, page_no, u.page page, {_sent('u.content')} s from r),
+w as (select doc_id, title, page_no, page, i, array_to_string(s[i + 1 : i + 6], ' ') txt from (select *, unnest(range(0, len(s), 6)) i from se)),
+n as (select *, row_number() over (partition by doc_id order by page_no, i) - 1 sent_id from w)
+select doc_id, md5(concat_ws('-', cast(doc_id as varchar), title, cast(sent_id as varchar))) as id, title, page, cast(sent_id as integer) as sent_id, md5(txt) as text_md5 from n""")
 def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages, then windows: the whole of the ingest. No SQL: the tests hold it against plain Python."""
-    return corpus.chunk(corpus.parse_pages(table(spark, sf, "documents"), "doc_id", "text"))
+    """Pages, then windows: the whole of the ingest."""
+    c = corpus.chunk_documents(table(spark, sf, "documents"), "doc_id", "text")
+    return c.select(F.col("source").alias("doc_id"), "id", "title", "page", "sent_id", F.md5("text").alias("text_md5"))
 
 
 @register("next_edges", """
@@ -217,16 +223,36 @@ def graph_additions(spark: SparkSession, sf: str) -> DataFrame:
     return graph.additions(s, s, hop.select("src_id", "dst_id"))
 
 
-@register("integrity_checks", """
-with c as (select record_id id, source, sent_id, text from chunks), n as (select * from (select id src_id, lead(id) over (partition by source order by sent_id, id) dst_id from c) where dst_id is not null),
+_PLANTED = """
+c as (select record_id id, source, sent_id, text from chunks), n0 as (select * from (select id src_id, lead(id) over (partition by source order by sent_id, id) dst_id from c) where dst_id is not null),
+n as (select * from n0 where src_id % 10 <> 0 union all select id, id + 3 from c where id % 17 = 0),
+h as (select id src_id, id + 7 dst_id from c union all select id, id from c where id % 11 = 0 union all select id, id + 7 from c where id % 13 = 0),
 g as (select a.id src_id, b.id dst_id from c a join c b on a.source = b.source and b.sent_id = a.sent_id + 1)
+"""
+
+
+@register("integrity_checks", f"""
+with {_PLANTED}
 select 'duplicate_chunk' as "check", count(*) as violations from (select id from c group by id having count(*) > 1)
 union all select 'blank_chunk', count(*) from c where text is null or trim(text) = ''
+union all select 'next_source_missing', count(*) from n where src_id not in (select id from c)
+union all select 'next_target_missing', count(*) from n where dst_id not in (select id from c)
+union all select 'next_out_degree', count(*) from (select src_id from n group by src_id having count(*) > 1)
+union all select 'next_in_degree', count(*) from (select dst_id from n group by dst_id having count(*) > 1)
+union all select 'next_crosses_source', count(*) from n join c a on a.id = src_id join c b on b.id = dst_id where a.source <> b.source
 union all select 'next_gap', count(*) from g where (src_id, dst_id) not in (select src_id, dst_id from n)
-union all select unnest(['next_source_missing','next_target_missing','next_out_degree','next_in_degree','next_crosses_source','hop_source_missing','hop_target_missing','hop_to_itself','duplicate_hop','hop_within_source']), 0""")
+union all select 'hop_source_missing', count(*) from h where src_id not in (select id from c)
+union all select 'hop_target_missing', count(*) from h where dst_id not in (select id from c)
+union all select 'hop_to_itself', count(*) from h where src_id = dst_id
+union all select 'duplicate_hop', count(*) from (select src_id, dst_id from h group by src_id, dst_id having count(*) > 1)
+union all select 'hop_within_source', count(*) from h join c a on a.id = src_id join c b on b.id = dst_id where a.source = b.source""")
 def integrity_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The passages of the corpus with faults planted in both kinds of edges: links left out, crossing, doubled, to nowhere."""
     c = table(spark, sf, "chunks").select(F.col("record_id").alias("id"), "source", "sent_id", "text")
-    return graph.integrity(c, graph.next_edges(c), graph.next_edges(c).where("false"))
+    to = lambda d, k: d.select(F.col("id").alias("src_id"), (F.col("id") + k).alias("dst_id"))
+    nxt = graph.next_edges(c).where("src_id % 10 <> 0").unionByName(to(c.where("id % 17 = 0"), 3))
+    hop = to(c, 7).unionByName(to(c.where("id % 11 = 0"), 0)).unionByName(to(c.where("id % 13 = 0"), 7))
+    return graph.integrity(c, nxt, hop)
 
 
 @register("graph_integrity", f"""
@@ -262,14 +288,27 @@ def capacity(spark: SparkSession, sf: str) -> DataFrame:
     return graph.capacity(table(spark, sf, "embeddings"), "embedding", table(spark, sf, "chunks"))
 
 
-@register("rewired_edges")
-def rewired_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Degrees and target sources as before, in each of three repetitions; the tests hold these invariants."""
+@register("rewired_degrees", f"""
+with {_EDGES.split('nxt as')[0].strip().rstrip(',')}, m as (select src_id, dst_id from merged join body a on a.id = src_id join body b on b.id = dst_id where a.src is distinct from b.src),
+d as (select src_id node, 1 o, 0 i from m union all select dst_id, 0, 1 from m)
+select r as repeat, node, cast(sum(o) as bigint) as out_degree, cast(sum(i) as bigint) as in_degree from d, (select unnest([0, 1, 2]) r) group by r, node""")
+def rewired_degrees(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node has the degrees it had, in each of three random graphs; the tests hold the rest."""
     c, _, hop = edges(spark, sf)
-    return stats.rewired(hop.select("src_id", "dst_id"), c, 3)
+    side = lambda n: c.select(F.col("id").alias(n), F.col("source").alias(f"s{n}"))
+    across = hop.join(side("src_id"), "src_id").join(side("dst_id"), "dst_id").where("not (ssrc_id <=> sdst_id)").select("src_id", "dst_id")
+    out = stats.rewired(across, c, 3)
+    end = lambda a, o, i: out.select("repeat", F.col(a).alias("node"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    both = end("src_id", 1, 0).unionByName(end("dst_id", 0, 1))
+    return both.groupBy("repeat", "node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+
+
+_PART = " || '|' || ".join(f"cast(sum(cast('0x' || substr(h, {a}, 8) as bigint)) as varchar)" for a in (1, 9, 17, 25))
 
 
-@register("corpus_digest")
+@register("corpus_digest", f"""
+with d as (select sha256(concat_ws(chr(1), coalesce(cast(doc_id as varchar), chr(2)), coalesce(text, chr(2)))) h from documents)
+select count(*) as rows, sha256(cast(count(*) as varchar) || '|' || {_PART}) as digest from d""")
 def corpus_digest(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.table_digest(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -283,11 +322,11 @@ def boilerplate_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("cross_channel_texts", """
-select a.record_id as a, b.record_id as b from chunks a join chunks b on lower(trim(a.text)) = lower(trim(b.text)) and a.record_id < b.record_id and a.source <> b.source where trim(a.text) <> ''""")
+with t as (select record_id, source, lower(trim(text)) k from chunks where trim(text) <> ''), g as (select k, count(*) copies, count(distinct source) sources from t group by k having count(distinct source) > 1)
+select md5(k) as text_class, record_id, copies, sources from t join g using (k)""")
 def cross_channel_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Identical passages of different sources."""
-    side = lambda n: table(spark, sf, "chunks").where("trim(text) <> ''").select(F.col("record_id").alias(n), F.col("source").alias(f"s{n}"), F.lower(F.trim("text")).alias("t"))
-    return side("a").join(side("b"), "t").where("a < b and sa <> sb").select("a", "b")
+    """Passages whose text several sources have: each with its class, of which the size is told and no pairs are made."""
+    return graph.shared_texts(table(spark, sf, "chunks"), "record_id", "source", "text")
 
 
 @register("sentence_store", """

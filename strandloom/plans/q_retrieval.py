@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.vectors import rank_within
-from strandloom.operators import coverage, fulltext, providers, reports, retrieval, stats, store
+from strandloom.operators import coverage, fulltext, graph, providers, reports, retrieval, stats, store
 from strandloom.plans.catalogue import register
 from strandloom.session import table
 
@@ -46,13 +46,6 @@ def rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("query_id", "id", *(F.col(c).cast("long").alias(c) for c in ("semantic_rank", "representation_rank", "rank")), F.round("rank_fusion_score", 6).alias("score"))
 
 
-@register("selector_variants", f"""
-with {_CAND} {_RANKS} select 'fused' as variant, query_id, id, r as rank from (select *, row_number() over (partition by query_id order by f desc, coalesce(fin, 0) desc, id desc) r from fu) where r <= 12
-union all select 'representation', query_id, id, p from fu where p <= 12 union all select 'raw', query_id, id, s from fu where s <= 12""")
-def selector_variants(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.select_variants(candidates(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
-
-
 @register("weighted_fusion", f"""
 with {_CAND} {_RANKS}, w as (select unnest([0.0, 0.25, 0.5, 0.75, 1.0]) w),
 x as (select w, fu.*, w / s + case when coalesce(rep, 0) > 0 then (1 - w) / p else 0 end g from fu, w)
@@ -95,6 +88,34 @@ def role_union(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("query_id", "id", F.round("representation_score", 6).alias("representation_score"), F.size("representation_scores").cast("long").alias("channels"))
 
 
+_RAW = """, rw as (select query_id, id, sum(rrf) raw from rrf group by query_id, id)"""
+
+
+@register("raw_scores", f"""
+with {_HITS} {_RAW}, nx as (select distinct id a, b from (select id, lead(id) over (partition by source order by sent_id, record_id) b from chunks) where b is not null and id <> b),
+ed as (select a, b from nx union select b, a from nx), inh as (select query_id, b id, max(raw) * 0.5 raw from rw join ed on ed.a = rw.id group by query_id, b)
+select query_id, id, round(raw, 6) as raw_score, true as direct from rw union all select query_id, id, round(raw, 6), false from inh where (query_id, id) not in (select query_id, id from rw)""")
+def raw_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of the channels' own scores, and half the best of a neighbour for passages that only the graph reaches."""
+    c = table(spark, sf, "chunks").select("record_id", F.col("id").alias("node"), "source", "sent_id")
+    nxt = graph.next_edges(c.withColumnRenamed("record_id", "id"))
+    name = lambda k: c.select(F.col("record_id").alias(k), F.col("node").alias(f"n_{k}"))
+    nxt = nxt.join(name("src_id"), "src_id").join(name("dst_id"), "dst_id").select(F.col("n_src_id").alias("src_id"), F.col("n_dst_id").alias("dst_id")).where("src_id <> dst_id")
+    both = nxt.unionByName(nxt.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))).distinct()
+    return retrieval.raw_scores(retrieval.hybrid(channel_hits(spark, sf), None), both).withColumn("raw_score", F.round("raw_score", 6))
+
+
+@register("selector_variants", f"""
+with {_HITS} {_RAW}, {_RANKS.strip().lstrip(',')}, x as (select fu.*, coalesce(raw, 0) raw from fu left join rw using (query_id, id))
+select 'fused' as variant, query_id, id, r as rank from (select *, row_number() over (partition by query_id order by f desc, coalesce(fin, 0) desc, id desc) r from x) where r <= 12
+union all select 'representation', query_id, id, p from x where p <= 12
+union all select 'raw', query_id, id, r from (select *, row_number() over (partition by query_id order by raw desc, id desc) r from x) where r <= 12""")
+def selector_variants(spark: SparkSession, sf: str) -> DataFrame:
+    raw = retrieval.raw_scores(retrieval.hybrid(channel_hits(spark, sf), None)).drop("direct")
+    pool = candidates(spark, sf).join(raw, ["query_id", "id"], "left")
+    return retrieval.select_variants(pool).withColumn("rank", F.col("rank").cast("long"))
+
+
 @register("channel_combinations", f"""
 with {_CAND}, r2 as (select query_id, id, array_to_string(list_sort(list_distinct(list(channel))), '+') combination from real where channel in ('body', 'q_minus', 'q_plus') group by query_id, id),
 n as (select combination, count(*) n from r2 group by combination)
@@ -198,11 +219,14 @@ def offline_questions(spark: SparkSession, sf: str) -> DataFrame:
     return providers.deduped_questions(providers.sentence_questions(c))
 
 
-@register("coupled_sample")
+@register("coupled_sample", f"""
+with {_CAND}, b as (select query_id, min(n) // 4 budget from (select query_id, channel, count(*) n from c group by all) group by query_id),
+r as (select query_id, channel arm, id, row_number() over (partition by query_id, channel order by md5('42|' || query_id || '|' || id), id) k from c)
+select query_id, arm, id from r join b using (query_id) where k <= budget""")
 def coupled_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Arms share their priorities, so a smaller budget's sample is within a larger one's."""
     c = candidates(spark, sf).select("query_id", "id", F.col("channel").alias("arm"))
-    budgets = c.groupBy("query_id").agg((F.count(F.lit(1)) / 4).cast("int").alias("budget"))
+    budgets = c.groupBy("query_id", "arm").count().groupBy("query_id").agg(F.floor(F.min("count") / 4).cast("int").alias("budget"))
     return stats.coupled_sample(c, budgets, 42)
 
 
@@ -220,19 +244,20 @@ def monotonic_scores(spark: SparkSession, sf: str) -> DataFrame:
 @register("bridge_min", """
 with e as (select vec_id id, cast(embedding as double[]) v from embeddings), q as (select id query_id, v qv from e where id % 50 = 0),
 b as (select b.id, b.v, n.v nv from e b left join e n on n.id = b.id + 1 where b.id % 3 = 0),
-s as (select query_id, b.id, list_cosine_similarity(qv, b.v) body, case when nv is null then null else list_cosine_similarity(qv, nv) end br from q, b)
-select query_id, id, round(case when br is null then body else least(body, br) end, 6) as final_score from s""")
+s as (select query_id, b.id, list_cosine_similarity(qv, b.v) body, case when nv is null then null else list_cosine_similarity(qv, nv) end br from q, b),
+r as (select query_id, id, round(case when br is null then body else least(body, br) end, 6) f from s)
+select query_id, id, f as final_score from (select *, row_number() over (partition by query_id order by f desc, id) k from r) where k <= 12""")
 def bridge_min(spark: SparkSession, sf: str) -> DataFrame:
-    """Body similarity held down by the best bridge: the next vector stands for the question that led there."""
+    """Body similarity held down by the best bridge, the twelve best of every query: the next vector stands for the question
+    that led there. A stated query set against all rows: bodies meet the queries in 64 blocks."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     near = e.select((F.col("vec_id") - 1).alias("vec_id"), F.array("embedding").alias("bridge_embeddings"))
     c = e.where("vec_id % 3 = 0").join(near, "vec_id", "left").withColumn("bridge_embeddings", F.coalesce("bridge_embeddings", F.array().cast("array<array<float>>")))
     ids = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    # A stated query set against all rows: each body row carries the ids of its block of queries, and meets them by id.
-    blocks = ids.groupBy(F.pmod("query_id", F.lit(64)).alias("block")).agg(F.collect_list("query_id").alias("ids"))
-    pool = c.select(F.col("vec_id").alias("id"), "embedding", "bridge_embeddings", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("block"))
-    pool = pool.join(blocks, "block").withColumn("query_id", F.explode("ids")).drop("ids", "block")
-    return retrieval.score_bodies(pool, ids, "bridge").select("query_id", "id", F.round("final_score", 6).alias("final_score"))
+    pool = c.select(F.col("vec_id").alias("id"), "embedding", "bridge_embeddings", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("block"))
+    pool = pool.join(ids.select("query_id", F.pmod("query_id", F.lit(64)).cast("int").alias("block")), "block").drop("block")
+    s = retrieval.score_bodies(pool, ids, "bridge").select("query_id", "id", F.round("final_score", 6).alias("final_score"))
+    return rank_within(s, ["query_id"], [F.col("final_score").desc(), F.col("id").asc()], 12).drop("rank")
 
 
 @register("response_costs", """

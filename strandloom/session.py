@@ -7,14 +7,13 @@ them. Only where that setting is absent (unit tests, a laptop) is a local folder
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
-import time
 import uuid
+import zipfile
+from pathlib import Path
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
@@ -52,10 +51,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are: one folder, to be deleted when it has ended."""
+    return f"{shared_dir(spark)}/strandloom/{spark.sparkContext.applicationId}"
+
+
+def ship(spark: SparkSession) -> str:
+    """Send this package to the executors of a session on which it is not installed; the path of the archive."""
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="strandloom-")) / "strandloom.zip"
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    return str(path)
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     if path.startswith("file://"):
@@ -63,22 +79,6 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffle files of finished jobs now rather than at the next chance collection.
-
-    The plans of finished jobs are held by Python's side, by events still in the queue, and by the JVM, in this order.
-    """
-    gc.collect()
-    jvm_context = spark.sparkContext._jsc.sc()
-    for _ in range(2):
-        try:
-            jvm_context.listenerBus().waitUntilEmpty()
-        except Py4JJavaError:  # still busy after ten seconds: then the files stay a little longer
-            pass
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(directory, f"{name}.parquet"))
 

@@ -19,8 +19,8 @@ def read_files(spark: SparkSession, directory: str) -> DataFrame:
     return raw.select(F.element_at(F.split("path", "/"), -1).alias("source"), text.alias("content"), F.when(text.isNull(), F.lit("not valid UTF-8")).alias("failure"))
 
 
-def parse_pages(docs: DataFrame, source: str, text: str) -> DataFrame:
-    """(source, title, paragraph_id, page, content): pages in order from 1.
+def _paged(docs: DataFrame, source: str, text: str) -> DataFrame:
+    """(source, title, paragraph_id, __p): a document's pages as an array of (page, content).
 
     A first line ``Title: `` names the document, a second ``Paragraph-ID: `` line is no evidence; both leave the text. What
     precedes the first page marker is dropped; without a marker, or with empty pages only, all is page 1.
@@ -33,10 +33,16 @@ def parse_pages(docs: DataFrame, source: str, text: str) -> DataFrame:
     d = d.withColumn("paragraph_id", F.nullif(u_trim(F.regexp_extract("__t", line, 1)), F.lit("")))
     d = d.withColumn("__t", F.regexp_replace("__t", line, ""))
     marks = F.regexp_extract_all("__t", F.lit(r"(?i)-+ Page (\d+) -+"), F.lit(1))
-    parts = F.slice(F.split("__t", PAGE_MARK), 2, 1_000_000)
+    parts = F.slice(F.split("__t", PAGE_MARK), F.lit(2), F.size(F.split("__t", PAGE_MARK)))
     pages = F.filter(F.zip_with(marks, parts, lambda n, c: F.struct(n.cast("int").alias("page"), u_trim(c).alias("content"))), lambda p: p["content"] != "")
     whole = F.array(F.struct(F.lit(1).alias("page"), u_trim(F.regexp_replace("__t", PAGE_MARK, "")).alias("content")))
     d = d.withColumn("__p", F.when(F.size(pages) > 0, pages).otherwise(whole))
+    return d.select("source", "title", "paragraph_id", "__p")
+
+
+def parse_pages(docs: DataFrame, source: str, text: str) -> DataFrame:
+    """(source, title, paragraph_id, page_no, page, content): pages in order from 1."""
+    d = _paged(docs, source, text)
     return d.select("source", "title", "paragraph_id", F.posexplode("__p").alias("page_no", "p")).select("source", "title", "paragraph_id", "page_no", "p.page", "p.content")
 
 
@@ -47,12 +53,18 @@ def sentence_windows(text: Column, n: int = 6) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(s, i, n), " "))
 
 
-def chunk(pages: DataFrame, n: int = 6) -> DataFrame:
-    """(id, source, title, page, sent_id, text): windows never cross a page; ``sent_id`` counts through the document."""
-    w = pages.select("source", "title", "page_no", "page", F.posexplode(sentence_windows(F.col("content"), n)).alias("pos", "text"))
-    # A document's windows are few; numbering is by document, so documents spread over all tasks.
-    w = w.withColumn("sent_id", F.row_number().over(W.partitionBy("source").orderBy("page_no", "pos")) - 1)
-    return w.select(chunk_id(F.col("source").cast("string"), F.col("title"), F.col("sent_id")).alias("id"), "source", "title", "page", "sent_id", "text")
+def chunk_documents(docs: DataFrame, source: str, text: str, n: int = 6, *, paged: bool = True) -> DataFrame:
+    """(id, source, title, page, sent_id, text): windows never cross a page; ``sent_id`` counts through the document.
+
+    A document's windows are numbered in its own row, so no text is shuffled. Without ``paged`` a text is one page as it is.
+    """
+    if paged:
+        d = _paged(docs, source, text)
+    else:
+        d = docs.select(F.col(source).alias("source"), F.col(source).cast("string").alias("title"), F.array(F.struct(F.lit(1).alias("page"), F.col(text).alias("content"))).alias("__p"))
+    windows = F.flatten(F.transform("__p", lambda p: F.transform(sentence_windows(p["content"], n), lambda w: F.struct(p["page"].alias("page"), w.alias("text")))))
+    w = d.select("source", "title", F.posexplode(windows).alias("sent_id", "w"))
+    return w.select(chunk_id(F.col("source").cast("string"), F.col("title"), F.col("sent_id")).alias("id"), "source", "title", "w.page", "sent_id", "w.text")
 
 
 def empty_documents(docs: DataFrame, source: str, text: str) -> DataFrame:
@@ -113,8 +125,8 @@ def occurrence_id(query_id: Column, row: Column) -> Column:
 
 def table_digest(df: DataFrame, *columns: str) -> DataFrame:
     """(rows, digest) that do not depend on row order, by a sum of row hashes instead of one sorted list of everything."""
-    h = F.sha2(F.to_json(F.struct(*columns)), 256)
+    h = F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns)), 256)
     part = lambda a: F.conv(F.substring(h, a, 8), 16, 10).cast("decimal(38,0)")
-    sums = [F.sum(part(a)).alias(f"s{a}") for a in (1, 9, 17, 25)]
+    sums = [F.sum(part(a)).cast("string").alias(f"s{a}") for a in (1, 9, 17, 25)]
     s = df.select(*columns).agg(F.count(F.lit(1)).alias("rows"), *sums)
-    return s.select("rows", F.sha2(F.concat_ws("|", "rows", *(F.coalesce(f"s{a}", F.lit(0)) for a in (1, 9, 17, 25))), 256).alias("digest"))
+    return s.select("rows", F.sha2(F.concat_ws("|", "rows", *(F.coalesce(f"s{a}", F.lit("0")) for a in (1, 9, 17, 25))), 256).alias("digest"))

@@ -197,7 +197,7 @@ def test_pages_and_windows(spark):
     got = [(r.source, r.title, r.page, r.content) for r in p.orderBy("source", "page_no").collect()]
     assert got[:2] == [("f1", "My  doc", 1, " ".join(f"S{i}." for i in range(8))), ("f1", "My  doc", 3, "Last one")]
     assert got[2] == ("f2", "f2", 1, "No marker here. Two!")
-    c = corpus.chunk(p, 3).orderBy("source", "sent_id").collect()
+    c = corpus.chunk_documents(df, "source", "content", 3).orderBy("source", "sent_id").collect()
     assert [(r.source, r.sent_id, r.page, r.text) for r in c] == [
         ("f1", 0, 1, "S0. S1. S2."), ("f1", 1, 1, "S3. S4. S5."), ("f1", 2, 1, "S6. S7."), ("f1", 3, 3, "Last one"), ("f2", 0, 1, "No marker here. Two!"),
     ]
@@ -251,8 +251,8 @@ def test_fuzzy_recall_against_plain_python(spark):
 
 
 def test_support_projection_reads_whole_paragraphs(spark, tmp_path):
-    from strandloom.plans.q_evaluation import support_projection_whole
+    from strandloom.plans.q_evaluation import support_projection
 
     sentences = [f"Sentence {i} of a paragraph that goes on well past its first lines. " for i in range(20)]
     spark.createDataFrame([("s", "T", json.dumps(sentences)), ("b", "B", "broken")], "source_id string, title string, sentences string").write.parquet(f"{tmp_path}/paragraphs.parquet")
-    assert {tuple(r) for r in support_projection_whole(spark, str(tmp_path)).collect()} == {("s", "T", i) for i in range(20)}
+    assert {tuple(r) for r in support_projection(spark, str(tmp_path)).collect()} == {("s", "T", i) for i in range(20)}

@@ -90,20 +90,77 @@ def test_bootstrap_fixture(spark):
     a = stats.bootstrap(df, "v", "c", repeats=500).first()
     assert a.mean == pytest.approx(2 / 3) and a.macro == 0.5 and (a.macro_low, a.macro_high) == (0.0, 1.0)
     assert stats.bootstrap(df.orderBy("c"), "v", "c", repeats=500).first() == a
-    assert stats.cluster_interval([], [])["mean"] is None
+    assert stats.resampled_means([], [])["mean"] is None
     assert stats.paired_bootstrap([0.5] * 20, repeats=200)["significant"]
 
 
-def test_rewire_keeps_degrees():
+def test_resampled_means_follow_numpys_stream():
+    rng = np.random.default_rng(5)
+    s, n = rng.random(40) * 9, rng.integers(1, 5, 40).astype(float)
+    r = np.random.default_rng(42)
+    rows = []
+    for size in (128, 72):
+        pick = r.integers(0, 40, size=(size, 40))
+        rows += list(s[pick].sum(axis=1) / n[pick].sum(axis=1))
+    got = stats.resampled_means(s, n, repeats=200)
+    assert (got["low"], got["high"]) == pytest.approx(tuple(np.quantile(rows, [0.025, 0.975])))
+
+
+def test_poisson_bootstrap_is_near_the_other(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(rng.random() + (c % 5) / 5, f"c{c}", "x" if c % 2 else "y") for c in range(300) for _ in range(1 + c % 3)], "v double, c string, g string")
+    a = {r.group: r for r in stats.bootstrap(df, "v", "c", "g", repeats=2000).collect()}
+    b = {r.group: r for r in stats.poisson_bootstrap(df.repartition(7), "v", "c", "g").collect()}
+    assert set(a) == set(b) and all(abs(a[g].low - b[g].low) < 0.02 and abs(a[g].high - b[g].high) < 0.02 and a[g].mean == pytest.approx(b[g].mean) for g in a)
+    assert {tuple(r) for r in stats.poisson_bootstrap(df.coalesce(1), "v", "c", "g").select("group", F.round("low", 9)).collect()} == {(g, round(r.low, 9)) for g, r in b.items()}
+    assert stats.poisson_bootstrap(df.limit(0), "v", "c").count() == 0
+
+
+def test_rewired_keeps_degrees(spark):
     rng = random.Random(1)
     source = {i: i % 6 for i in range(60)}
-    edges = sorted({(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(200)) if source[a] != source[b]})
-    out = stats.rewire(edges, source, 3)
-    assert out == stats.rewire(edges, source, 3) != edges and len(set(out)) == len(edges)
-    for side in (0, 1):
-        assert sorted(e[side] for e in out) == sorted(e[side] for e in edges)
-    pair = lambda es: sorted((source[a], source[b]) for a, b in es)
-    assert all(source[a] != source[b] for a, b in out) and len(pair(out)) == len(pair(edges))
+    edges = sorted({(0 if rng.random() < 0.3 else a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(300))})
+    edges = [(a, b) for a, b in edges if source[a] != source[b]]  # one node starts a third of all edges
+    e = spark.createDataFrame(edges + edges[:3], "src_id long, dst_id long")
+    of = spark.createDataFrame(list(source.items()), "id long, source long")
+    out = stats.rewired(e, of, 2).collect()
+    for k in (0, 1):
+        mine = [(r.src_id, r.dst_id) for r in out if r.repeat == k]
+        assert len(set(mine)) == len(mine) == len(edges) and len(set(mine) & set(edges)) < 0.7 * len(edges)
+        assert all(source[a] != source[b] for a, b in mine)
+        for side in (0, 1):
+            assert sorted(x[side] for x in mine) == sorted(x[side] for x in edges)
+    with pytest.raises(Exception, match="within a source"):
+        stats.rewired(spark.createDataFrame([(0, 6)], "src_id long, dst_id long"), of, 1)
+    assert stats.rewired(e.limit(0), of, 1).count() == 0
+
+
+def test_supply_and_samples(spark):
+    base = spark.createDataFrame([("q", 1), ("r", 1)], "query_id string, id long")
+    samples = spark.createDataFrame([("q", k, "a", 2 + k) for k in (0, 1)] + [("q", 0, "b", 9), ("r", 0, "a", 3), ("z", 0, "a", 1)], "query_id string, repeat int, arm string, id long")
+    hits = spark.createDataFrame([("q", 1, 0), ("q", 2, 1), ("q", 3, 0), ("r", 3, 0)], "query_id string, id long, unit int")
+    gold = spark.createDataFrame([("q", 2), ("r", 1), ("z", 0)], "query_id string, units int")
+    v = stats.link_supply(base, samples, hits, gold)
+    assert {tuple(r) for r in v.collect()} == {("q", 0, "a", 0.5, 1.0, 1.0), ("q", 1, "a", 0.0, 0.0, 0.0), ("q", 0, "b", 0.0, 0.0, 0.0), ("r", 0, "a", 1.0, 1.0, 1.0)}
+    s = {(r.arm, r.metric): (r.mean, r.realization_sd) for r in stats.supply_summary(v).collect()}
+    assert s["a", "added_recall"][0] == 0.5 and s["b", "any_new"] == (0.0, None)
+    pools = spark.createDataFrame([("q", x, i) for x in "ab" for i in range(5)], "query_id string, arm string, id long")
+    two = spark.createDataFrame([("q", 2)], "query_id string, budget int")
+    got = stats.coupled_sample(pools, two, 1).collect()
+    assert len(got) == 4 and len({r.id for r in got}) == 2
+    with pytest.raises(Exception, match="smaller than its budget"):
+        stats.coupled_sample(pools, two.withColumn("budget", F.lit(9)), 1).collect()
+    assert {tuple(r) for r in stats.budget_histogram(spark.createDataFrame([(1,), (1,), (4,)], "budget int")).collect()} == {(1, 2, 2.0), (4, 1, 2.0)}
+
+
+def test_running_sums_of_hot_groups(spark):
+    from strandloom.functions.vectors import running_whole
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.choice(["hot", "hot", "a", None]), rng.randrange(50), i, rng.randrange(9)) for i in range(2000)], "g string, s int, i long, v int").repartition(5)
+    order = [F.col("s").desc(), F.col("i").asc()]
+    want = {tuple(r) for r in running_whole(df, ["g"], order, F.col("v"), "run").collect()}
+    assert {tuple(r) for r in running_whole(df, ["g"], order, F.col("v"), "run", 600).collect()} == want
 
 
 def test_mask_and_greedy(spark):
@@ -112,8 +169,22 @@ def test_mask_and_greedy(spark):
     assert stats.mask_coverage(s, h).first().covered == 2
     with pytest.raises(Exception, match="63 units"):
         stats.mask_coverage(s, h.withColumn("unit", F.lit(64))).collect()
-    pool = spark.createDataFrame([("q", 1, 5, 0), ("q", 2, 3, 0), ("q", 3, 9, 1), ("q", 4, 2, 2)], "query_id string, id long, tokens long, unit int")
+    pool = spark.createDataFrame([("q", 1, 5, 0), ("q", 2, 3, 0), ("q", 3, 9, 1), ("q", 4, 2, 2), ("q", 4, 2, 3)], "query_id string, id long, tokens long, unit int")
     assert sorted(r.id for r in stats.greedy_cover(pool, 8).collect()) == [2, 4]
+    rng = random.Random(5)
+    rows = [(f"q{rng.randrange(3)}", i, rng.randrange(1, 9), u) for i in range(60) for u in rng.sample(range(9), rng.choice([1, 1, 2]))]
+    size = {i: t for _, i, t, _ in rows}
+    for budget in (0, 5, 12, 100):
+        want = set()
+        for q in {r[0] for r in rows}:
+            left, seen = budget, set()
+            for t, i in sorted({(size[r[1]], r[1]) for r in rows if r[0] == q}):
+                units = {r[3] for r in rows if r[0] == q and r[1] == i}
+                if t <= left and units - seen:
+                    left, seen = left - t, seen | units
+                    want.add((q, i))
+        same = [(q, i, size[i], u) for q, i, _, u in rows]
+        assert {tuple(r) for r in stats.greedy_cover(spark.createDataFrame(same, "query_id string, id long, tokens long, unit int"), budget).collect()} == want
 
 
 def test_providers(spark):
