@@ -221,3 +221,119 @@ def canonical_json(value: object) -> str:
 
 def digest(value: object) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
+
+
+#: Fixed value: the label that marks where a prediction's answer begins.
+ANSWER_PREFIX = "@@ANSWER:"
+
+
+def mark_answer(c: Column) -> Column:
+    """A prediction with an answer label: its own if it has one, else one before the whole of it."""
+    t = u_trim(F.coalesce(c, F.lit("")))
+    return F.when(t.rlike(r"(?im)(?:final\s+answer|@@ANSWER)\s*:|^[ \t]*answer[ \t]*:"), t).otherwise(F.concat(F.lit(ANSWER_PREFIX + " "), t))
+
+
+def strict_boolean(c: Column) -> Column:
+    """true, false, 1, 0, yes, no, on and off in any case; anything else fails the job, null stays null."""
+    t = F.lower(u_trim(c))
+    return F.when(t.isin("true", "1", "yes", "on"), True).when(t.isin("false", "0", "no", "off"), False).when(c.isNotNull(), F.raise_error(F.lit("not a boolean")).cast("boolean"))
+
+
+def safe_double(c: Column, default: float | None = None) -> Column:
+    """The number of a text, or ``default`` where there is none or it is not finite."""
+    x = c.try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).otherwise(F.lit(default).cast("double"))
+
+
+def seeds(text: str) -> list[int]:
+    """A list of seeds, each once in its order, from numbers parted by commas or blanks; none is an error."""
+    found = list(dict.fromkeys(int(x) for x in re.split(r"[,\s]+", text.strip()) if x))
+    if not found:
+        raise ValueError("no seed given")
+    return found
+
+
+def source_title(c: Column) -> Column:
+    """The title of a saved source, which is an object with doc, title or source, or a plain text."""
+    named = F.coalesce(*(F.nullif(u_trim(F.get_json_object(c, f"$.{k}")), F.lit("")) for k in ("doc", "title", "source")))
+    return F.when(F.ltrim(c).startswith("{"), named).otherwise(F.nullif(u_trim(c), F.lit("")))
+
+
+def source_text(c: Column) -> Column:
+    """The text of a saved source: of an object its text or content, of a list its parts, else the text itself."""
+    return F.when(F.ltrim(c).startswith("{"), F.coalesce(F.get_json_object(c, "$.text"), F.get_json_object(c, "$.content"), F.lit(""))).when(F.ltrim(c).startswith("["), F.array_join(F.from_json(c, "array<string>"), "\n")).otherwise(F.coalesce(c, F.lit("")))
+
+
+def query_for_embedding(c: Column, instruction: str, template: str = "Instruct: {instruction}\nQuery: {query}") -> Column:
+    """A query as a model wants it for its query side; documents are embedded without an instruction."""
+    before, after = template.replace("{instruction}", instruction).split("{query}")
+    return F.concat(F.lit(before), c, F.lit(after))
+
+
+def payload_bytes(c: Column, kind: T.DataType) -> Column:
+    """The logical size of a value: its bytes as text or binary, eight for a number or a flag, its parts and eight for a
+    list, names and parts for an object, nothing for null."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        n = F.octet_length(c).cast("long")
+    elif isinstance(kind, T.ArrayType):
+        n = F.aggregate(c, F.lit(8).cast("long"), lambda s, x: s + payload_bytes(x, kind.elementType))
+    elif isinstance(kind, T.StructType):
+        n = sum((payload_bytes(c[f.name], f.dataType) + len(f.name.encode()) for f in kind.fields), F.lit(0).cast("long"))
+    elif isinstance(kind, T.MapType):
+        n = payload_bytes(F.map_keys(c), T.ArrayType(kind.keyType)) + payload_bytes(F.map_values(c), T.ArrayType(kind.valueType)) - 16
+    else:
+        n = F.lit(8).cast("long")
+    return F.when(c.isNull(), F.lit(0).cast("long")).otherwise(n)
+
+
+def character_counts(c: Column) -> Column:
+    """Counts of a raw answer by kind of character: what is told of an answer that could not be read."""
+    without = lambda pattern: F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+    return F.struct(
+        F.length(c).alias("characters"), F.octet_length(c).alias("utf8_bytes"), F.sha2(c, 256).alias("sha256"), without(r"[\x00-\x7f]").alias("ascii"), without(r"[^\x00-\x7f]").alias("non_ascii"),
+        without(r"[\x00-\x1f]").alias("control"), without(r"(?U)\s").alias("whitespace"), without("\ufeff").alias("bom"), without("\n").alias("newlines"),
+    )
+
+
+@F.pandas_udf(T.StringType())
+def json_fault(texts: pd.Series) -> pd.Series:
+    """Why a text is no JSON, in a few words with underscores; null where it is."""
+    def why(t: object) -> str | None:
+        if t is None:
+            return "no_text"
+        try:
+            json.loads(t)
+        except json.JSONDecodeError as e:
+            return re.sub(r"[^a-z]+", "_", e.msg.split(":")[0].lower()).strip("_")
+        except RecursionError:
+            return "too_deep"
+        return None
+
+    return texts.map(why)
+
+
+def signature(**parts: object) -> str:
+    """The key of a cache: a digest of everything its values depend on, whatever the order of the parts."""
+    return digest(parts)
+
+
+def request_identity(messages: Column, model: Column, settings: dict) -> Column:
+    """The digest of a reader's request: identical messages, model and settings are one request."""
+    return F.sha2(F.concat_ws("\u0001", messages, model, F.lit(canonical_json(settings))), 256)
+
+
+def ranking_schema(k: int) -> T.StructType:
+    """What a ranker returns: an array of labels; :func:`ranking_ok` holds it to ``k`` distinct ones of those shown."""
+    return T.StructType([T.StructField("ranking", T.ArrayType(T.StringType(), False), False)])
+
+
+def ranking_ok(ranking: Column, shown: Column, k: int) -> Column:
+    """Exactly as many labels as were asked for and can be had, each once and each among those shown."""
+    want = F.least(F.lit(k), F.size(shown))
+    return (F.size(ranking) == want) & (F.size(F.array_distinct(ranking)) == want) & (F.size(F.array_except(ranking, shown)) == 0)
+
+
+def sized(vector: Column, dim: int) -> Column:
+    """The vector, which must have ``dim`` elements and no null; another one fails the job, null stays null."""
+    ok = (F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull())
+    return F.when(vector.isNull() | ok, vector).otherwise(F.raise_error(F.lit(f"a vector that has not {dim} elements")).cast("array<double>"))

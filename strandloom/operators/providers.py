@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -17,6 +19,52 @@ class Texts(Protocol):
     def __call__(self, batch: list[str]) -> list: ...
 
 
+class TooLarge(Exception):
+    """A provider's batch, or one text of it, is too long."""
+
+
+class Transient(Exception):
+    """A failure that may pass: of the transport, or an answer that is not in the format asked for."""
+
+
+def retrying(call: Callable, attempts: int = 4, first: float = 0.5, most: float = 30.0, sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None) -> Callable:
+    """``call`` repeated after transient failures with doubling, jittered pauses. One budget of attempts covers every kind of
+    them; the last failure is raised. Other exceptions pass at once. Spark's own task retries come on top."""
+    def again(*args):
+        r = rng or random.Random()
+        for n in range(attempts):
+            try:
+                return call(*args)
+            except Transient:
+                if n + 1 == attempts:
+                    raise
+                sleep(min(most, first * 2**n) * (0.5 + r.random() / 2))
+
+    return again
+
+
+def bisecting(call: Callable[[list[str]], list], shorten: Callable[[str], str]) -> Callable[[list[str]], list]:
+    """``call`` on halves of a batch that is too large, down to one text, which is then shortened until it fits or is empty.
+    Results stay in the order of the texts, and there must be one for each."""
+    def split(batch: list[str]) -> list:
+        if not batch:
+            return []
+        try:
+            out = call(batch)
+        except TooLarge:
+            if len(batch) > 1:
+                return split(batch[: len(batch) // 2]) + split(batch[len(batch) // 2 :])
+            shorter = shorten(batch[0])
+            if len(shorter) >= len(batch[0]):
+                raise
+            return split([shorter])
+        if len(out) != len(batch):
+            raise ValueError("a provider gave another number of results than it got texts")
+        return out
+
+    return split
+
+
 def embed_with(df: DataFrame, text: str, model: Callable[[], Texts], out: str = "embedding") -> DataFrame:
     """Embeddings of the distinct non-blank texts, joined back by their digest; blanks get an empty vector.
 

@@ -132,3 +132,78 @@ def cached(texts: DataFrame, cache: DataFrame, identity: str) -> tuple[DataFrame
     """(hits, misses) against a cache keyed by the digest of an identity and the text."""
     keyed = texts.withColumn("cache_key", F.sha2(F.concat_ws("\u0001", F.lit(identity), "text"), 256))
     return keyed.join(cache, "cache_key"), keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
+
+
+def tagged(result: DataFrame, path: str, content_sha: str) -> DataFrame:
+    """A single result's rows with where they come from and the digest of that file."""
+    return result.withColumns({"source_path": F.lit(path), "source_sha256": F.lit(content_sha)})
+
+
+def write_traces(events: DataFrame, directory: str, payload: str = "payload") -> None:
+    """Traces as content-addressed payloads, each distinct one once and compressed, and events that name them by digest.
+
+    Secrets are redacted before the digest. Payloads are written first: an event never names one that is not there.
+    """
+    e = redact(events, payload).withColumn("payload_sha256", F.sha2(payload, 256))
+    e.where(F.col(payload).isNotNull()).select("payload_sha256", payload).dropDuplicates(["payload_sha256"]).write.mode("overwrite").option("compression", "gzip").json(f"{directory}/payloads")
+    e.drop(payload).write.mode("overwrite").json(f"{directory}/events")
+
+
+def read_traces(spark: SparkSession, directory: str, schema: str, payload: str = "payload") -> DataFrame:
+    """The events with their payloads again; one whose digest is not the recorded one fails the job."""
+    e = spark.read.schema(f"{schema}, payload_sha256 string").json(f"{directory}/events")
+    p = spark.read.schema(f"payload_sha256 string, {payload} string").json(f"{directory}/payloads")
+    j = e.join(p, "payload_sha256", "left")
+    return j.where(F.assert_true(F.col("payload_sha256").isNull() | (F.sha2(payload, 256) == F.col("payload_sha256")), F.lit("a payload has another digest")).isNull())
+
+
+def chunk_cache(docs: DataFrame, cache: DataFrame, source: str, content: str, signature: str) -> tuple[DataFrame, DataFrame]:
+    """(cached rows, documents to make) against a cache keyed by source, digest of the content and signature of the policy."""
+    keyed = docs.withColumns({"content_sha256": F.sha2(content, 256), "policy": F.lit(signature)})
+    keys = [source, "content_sha256", "policy"]
+    return cache.join(keyed.select(*keys).distinct(), keys, "left_semi"), keyed.join(cache.select(*keys).distinct(), keys, "left_anti")
+
+
+def artifact(spark: SparkSession, kind: str, policy: dict, values: dict) -> DataFrame:
+    """A one-row record of a run's statistics or failure with the digest of the policy it ran under."""
+    return spark.createDataFrame([(kind, digest(policy), json.dumps(values, sort_keys=True, ensure_ascii=False))], "kind string, policy_sha256 string, values string")
+
+
+def candidate_trace(ranked: DataFrame) -> DataFrame:
+    """(query_id, rank, id, label): the order in which a ranker is shown its candidates, with their opaque labels."""
+    from strandloom.functions.text import candidate_label
+
+    return ranked.select("query_id", "rank", "id", candidate_label((F.col("rank") - 1).cast("int")).alias("label"))
+
+
+def link_events(direct: DataFrame, expanded: DataFrame, selected: DataFrame) -> DataFrame:
+    """(query_id, role, id): what links were used for, one row a passage and role; ``expanded`` has path_type."""
+    one = lambda d, r: d.select("query_id", r.alias("role"), "id")
+    return one(direct, F.lit("direct")).unionByName(one(expanded, F.col("path_type"))).unionByName(one(selected, F.lit("selected"))).distinct()
+
+
+def resolve_artifact(artifacts: DataFrame, **wanted: str) -> DataFrame:
+    """(state, path): exact for one valid artifact of these values, else missing, ambiguous, or invalid if none is valid."""
+    a = artifacts
+    for k, v in wanted.items():
+        a = a.where(F.col(k) == v)
+    s = a.agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("ok"), F.min(F.when(F.col("valid"), F.col("path"))).alias("path"))
+    state = F.when(F.col("n") == 0, "missing").when(F.col("ok") == 0, "invalid").when(F.col("ok") > 1, "ambiguous").otherwise("exact")
+    return s.select(state.alias("state"), F.when(state == "exact", F.col("path")).alias("path"))
+
+
+def replay_export(scores: DataFrame, groups: list[str], directory: str) -> None:
+    """All groups' scores evaluated into a staging table first, and published only then, one folder a group.
+
+    A row that cannot be scored fails the staging write, before anything is published.
+    """
+    staged = f"{directory}/_staging"
+    scores.write.mode("overwrite").parquet(staged)
+    scores.sparkSession.read.parquet(staged).write.mode("overwrite").partitionBy(*groups).json(f"{directory}/scores")
+
+
+def clear_edges(spark: SparkSession, root: str, names: tuple[str, ...] = ("edge_hop", "edge_answered_by")) -> None:
+    """Empty edge tables of the same schema, so that the edges alone can be built anew."""
+    for n in names:
+        schema = spark.read.parquet(f"{root}/{n}").schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/{n}")

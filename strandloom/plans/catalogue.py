@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from strandloom.plans import q_evaluation, q_index, q_retrieval  # noqa: F401 - they register themselves
+    from strandloom.plans import q_evaluation, q_index, q_reports, q_retrieval  # noqa: F401 - they register themselves
 
 
 def queries() -> dict[str, Query]:

@@ -95,3 +95,67 @@ def archived_samples(spark: SparkSession, path: str, name: str = "samples") -> D
     at = np.argwhere(a >= 0)
     cols = dict(zip(("repeat", "query_ix", "arm", "slot"), at.T.astype("int32")))
     return spark.createDataFrame(pd.DataFrame({**cols, "node_ix": a[tuple(at.T)].astype("int64")}))
+
+
+MANIFEST = "corpus string, sha256 string, documents long, files array<struct<name: string, sha256: string>>"
+
+
+def corpus_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(corpus, sha256, documents, files) of a manifest; an empty table where there is none."""
+    try:
+        return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    except Exception as e:  # noqa: BLE001 - a manifest is optional
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def manifest_of_queries(spark: SparkSession, queries: str, name: str = "corpus_manifest.json") -> DataFrame:
+    """The corpus manifest next to a query file."""
+    return corpus_manifest(spark, queries.rsplit("/", 1)[0] + "/" + name)
+
+
+def manifest_faults(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, fault) of files (name, sha256) that are missing, not in the manifest, or changed."""
+    m = manifest.select(F.explode("files").alias("f")).select("f.name", F.col("f.sha256").alias("then"))
+    j = files.select("name", F.col("sha256").alias("now")).join(m, "name", "full_outer")
+    fault = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "unlisted").when(F.col("now") != F.col("then"), "changed")
+    return j.select("name", fault.alias("fault")).where("fault is not null")
+
+
+def sampled_names(names: list[str], count: int, seed: int = 42) -> list[str]:
+    """A sample of file names that depends on the seed and the names alone, in order; Python's own stream over sorted names.
+
+    Names of a corpus directory, which a driver lists anyway; the documents are then filtered by them.
+    """
+    import random
+
+    return sorted(random.Random(seed).sample(sorted(names), count))
+
+
+def smoke_fixture(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(docs, queries): two documents of which the second answers what the first leads to, and one question over both."""
+    docs = spark.createDataFrame([("first.txt", "Title: First\nThe bridge at Arn was built by Ilva Tern."), ("second.txt", "Title: Second\nIlva Tern was born in Korsa.")], "source string, content string")
+    queries = spark.createDataFrame([("smoke", "smoke", "Where was the builder of the bridge at Arn born?", "Korsa", "inference_query", ["First", "Second"], ["The bridge at Arn was built by Ilva Tern.", "Ilva Tern was born in Korsa."])], "query_id string, original_query_id string, query string, ground_truth string, question_type string, evidence_docs array<string>, evidence_facts array<string>")
+    return docs, queries
+
+
+def frozen_inputs(queries: DataFrame, frozen: DataFrame, by: str = "query") -> DataFrame:
+    """Queries with their frozen direct inputs, found by the digest of the query or, by ``query_id``, by the occurrence; one
+    that is not there fails the job, as nothing may be searched again."""
+    key = F.sha2("query", 256) if by == "query" else F.col("query_id")
+    j = queries.withColumn("__k", key).join(frozen.select(F.col("key").alias("__k"), "inputs"), "__k", "left")
+    return j.where(F.assert_true(F.col("inputs").isNotNull(), F.lit("a query has no frozen inputs")).isNull()).drop("__k")
+
+
+def metadata_json(articles: DataFrame) -> DataFrame:
+    """(source, value): the metadata file's entries of articles that have their unique file names."""
+    from strandloom.sources.corpus import source_metadata
+
+    m = source_metadata(articles)
+    return m.select("source", F.to_json(F.struct(*(c for c in m.columns if c != "source"))).alias("value"))
+
+
+def steps(trace: str = "trace", keep: tuple[str, ...] = ("step", "query", "returned")) -> object:
+    """Trace steps cut to what a report shows."""
+    return F.transform(trace, lambda s: F.struct(*(s[k].alias(k) for k in keep)))
