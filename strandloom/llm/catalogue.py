@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +13,7 @@ MODULES = ("q_pairs", "q_neighbours", "q_split", "q_copies", "q_topn", "q_pack",
 
 def _modules():
     for name in MODULES:
-        full = f"{__package__}.{name}"
-        if importlib.util.find_spec(full) is not None:
-            yield importlib.import_module(full)
+        yield importlib.import_module(f"{__package__}.{name}")
 
 
 def queries() -> dict[str, Query]:
