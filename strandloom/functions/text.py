@@ -7,6 +7,7 @@ import html
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ WRAPPERS = ("answer", "final_answer", "response", "result", "output", "text")
 FORMAT_MARKER = "[Benchmark Output Format]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once: inside a lambda or a branch the planner would repeat it at every mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def u_trim(c: Column) -> Column:
     """Without white space of any kind at the ends (``trim`` drops spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -105,6 +105,8 @@ def _hot_groups(df: DataFrame, by: list[str], hot_rows: int) -> DataFrame | None
     """The groups of more than ``hot_rows`` rows, or None: their list is short, as each has so many rows."""
     from strandloom.session import materialize
 
+    if df.count() <= hot_rows:  # read from the footers where the rows are a written table
+        return None
     hot = materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).drop("__n"), "hot-groups")
     return None if hot.isEmpty() else hot
 

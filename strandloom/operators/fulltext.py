@@ -27,8 +27,9 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return d.select("doc", "len", F.explode("t").alias("term")).groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-#: Most distinct terms and queries of one batch that are sent to every task; larger batches take the relational plan.
-BATCH_TERMS, BATCH_QUERIES = 100_000, 20_000
+#: Most (query, term) rows of one batch that reach the driver, and most cells of the matrix of terms and queries that every
+#: task holds (eight bytes each); larger batches take the relational plan.
+BATCH_ROWS, BATCH_CELLS = 200_000, 10_000_000
 _SPLIT = re.compile(TOKEN_SPLIT)
 
 
@@ -41,9 +42,9 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     shuffled. Null texts are empty; a query without terms, or that matches nothing, has no rows.
     """
     q = queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(terms(F.col(query)))).alias("term")).distinct()
-    rows = q.limit(20 * BATCH_TERMS + 1).collect()
+    rows = q.limit(BATCH_ROWS + 1).collect()
     names, vocabulary = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
-    if len(rows) > 20 * BATCH_TERMS or len(vocabulary) > BATCH_TERMS or len(names) > BATCH_QUERIES:
+    if len(rows) > BATCH_ROWS or len(vocabulary) * len(names) > BATCH_CELLS:
         return bm25_relational(docs, key, text, queries, query_key, query, k, decimals)
     spark = docs.sparkSession
     at = {t: i for i, t in enumerate(vocabulary)}
@@ -62,8 +63,10 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
             found = [known[w] for w in words if w in known]
             doc += [i] * len(found)
             term += found
-        cell, tf = np.unique(np.array(doc, np.int64) * max(1, width) + np.array(term, np.int64), return_counts=True)
-        return cell // max(1, width), cell % max(1, width), tf.astype(float), length
+        cell = np.sort(np.array(doc, np.int64) * max(1, width) + np.array(term, np.int64))
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, int)
+        tf = np.diff(np.append(first, len(cell)))
+        return cell[first] // max(1, width), cell[first] % max(1, width), tf.astype(float), length
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(width + 2)
@@ -86,14 +89,15 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, ids, cells = sent.value
         use = np.zeros((width, len(ids)))
+        step = max(1, min(1024, BATCH_CELLS // max(1, width)))  # documents at once: their matrix is as bounded
         use[cells[:, 1], cells[:, 0]] = 1
         top_s, top_d = np.zeros((0, len(ids))), []
         for b in batches:
             keys = b.column(0).to_pylist()
             doc, term, tf, length = counted(b.column(1).to_pylist())
-            for s in range(0, len(keys), 1024):
-                m = (doc >= s) & (doc < s + 1024)
-                w = np.zeros((min(1024, len(keys) - s), width))
+            for s in range(0, len(keys), step):
+                m = slice(*np.searchsorted(doc, [s, s + step]))  # cells are in the order of documents
+                w = np.zeros((min(step, len(keys) - s), width))
                 w[doc[m] - s, term[m]] = idf[term[m]] * tf[m] * (K1 + 1) / (tf[m] + K1 * (1 - B + B * length[doc[m]] / max(average, 1e-12)))
                 p = np.round(w @ use, decimals)
                 some = np.flatnonzero(p.max(axis=1, initial=0) > 0)

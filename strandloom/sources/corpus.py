@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.functions.text import chunk_id, safe_filename, strip_boilerplate, u_trim, unescape
+from strandloom.functions.text import bound, chunk_id, safe_filename, strip_boilerplate, u_trim, unescape
 
 PAGE_MARK = r"(?i)-+ Page \d+ -+"
 METADATA = ("author", "publisher", "published_at", "category", "url")
@@ -33,10 +33,10 @@ def _paged(docs: DataFrame, source: str, text: str) -> DataFrame:
     d = d.withColumn("paragraph_id", F.nullif(u_trim(F.regexp_extract("__t", line, 1)), F.lit("")))
     d = d.withColumn("__t", F.regexp_replace("__t", line, ""))
     marks = F.regexp_extract_all("__t", F.lit(r"(?i)-+ Page (\d+) -+"), F.lit(1))
-    parts = F.slice(F.split("__t", PAGE_MARK), F.lit(2), F.size(F.split("__t", PAGE_MARK)))
+    parts = F.filter(F.split("__t", PAGE_MARK), lambda _, i: i > 0)
     pages = F.filter(F.zip_with(marks, parts, lambda n, c: F.struct(n.cast("int").alias("page"), u_trim(c).alias("content"))), lambda p: p["content"] != "")
     whole = F.array(F.struct(F.lit(1).alias("page"), u_trim(F.regexp_replace("__t", PAGE_MARK, "")).alias("content")))
-    d = d.withColumn("__p", F.when(F.size(pages) > 0, pages).otherwise(whole))
+    d = d.withColumn("__p", bound(pages, lambda p: F.when(F.size(p) > 0, p).otherwise(whole)))
     return d.select("source", "title", "paragraph_id", "__p")
 
 
@@ -48,9 +48,13 @@ def parse_pages(docs: DataFrame, source: str, text: str) -> DataFrame:
 
 def sentence_windows(text: Column, n: int = 6) -> Column:
     """Windows of ``n`` sentences joined by one space; the tail stays, empty sentences do not."""
-    s = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)(?<=[.!?])\s+"), u_trim), lambda x: x != "")
-    starts = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s), F.lit(n))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(s, i, n), " "))
+    s = F.filter(F.split(u_trim(F.coalesce(text, F.lit(""))), r"(?U)(?<=[.!?])\s+"), lambda x: x != "")  # no sentence has blanks at its ends then
+
+    def windows(s: Column) -> Column:
+        starts = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s), F.lit(n))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(s, i, n), " "))
+
+    return bound(s, windows)
 
 
 def chunk_documents(docs: DataFrame, source: str, text: str, n: int = 6, *, paged: bool = True) -> DataFrame:
