@@ -47,13 +47,16 @@ class Filter:
     """A Bloom filter of two probes on 64-bit values."""
 
     def __init__(self, longs: np.ndarray):
-        self.bits = np.unpackbits(longs.view(np.uint8), bitorder="little").astype(bool)
-        self.shift = np.uint64(64 - int(math.log2(len(self.bits))))
+        self.words = longs.view(np.uint64)
+        self.shift = np.uint64(64 - int(math.log2(64 * len(self.words))))
+
+    def _set(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
     def hit(self, values: np.ndarray) -> np.ndarray:
         a, b = _probes(values, self.shift)
-        found = self.bits[a]
-        found[found] = self.bits[b[found]]
+        found = self._set(a)
+        found[found] = self._set(b[found])
         return found
 
 
