@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.text import abstains, final_answer, normalise_answer, u_collapse
+from strandloom.functions.vectors import HOT_ROWS, rank_whole
 from strandloom.operators import coverage, graph, metrics, reports, stats, store
 from strandloom.plans.catalogue import register
-from strandloom.plans.q_index import edges, starts
+from strandloom.plans.q_index import _EDGES, _FRONT, edges, starts
 from strandloom.plans.q_retrieval import _BM25, _CAND, _ITEMS, candidates, items, searched
 from strandloom.session import materialize, table
 from strandloom.sources import corpus
@@ -245,12 +246,9 @@ st as (select query_id, id from rkd where rs <= 3), gp as (select query_id, id f
 
 def pools(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """(ranked, starts, graph pool, direct pool, hits) with a passage's unit by the digest of its id."""
-    from strandloom.functions.vectors import rank_within
-
-    c = candidates(spark, sf)
+    c = materialize(candidates(spark, sf), "pool-candidates")
     z = lambda x: F.coalesce(x, F.lit(0.0)).desc()
-    r = rank_within(c, ["query_id"], [z("similarity_score"), F.col("id").asc()], None, "rs")
-    r = rank_within(r, ["query_id"], [z("representation_score"), F.col("id").asc()], None, "rr")
+    r = rank_whole(c, ["query_id"], [z("similarity_score"), F.col("id").asc()], "rs", HOT_ROWS, ("rr", [z("representation_score"), F.col("id").asc()]))
     r = materialize(r.select("query_id", "id", "channel", "rs", "rr"), "pools")  # five readers
     ids = lambda cond: r.where(cond).select("query_id", "id")
     hits = r.select("query_id", "id", (F.conv(F.substring(F.md5("id"), 1, 2), 16, 10).cast("int") % 7).alias("unit"))
@@ -318,14 +316,20 @@ def fact_components(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.components(f, "query_id", "fact")
 
 
-@register("link_usefulness")
+@register("link_usefulness", f"""
+with {_EDGES} {_FRONT}, n as (select query_id, id, max(d) d, max(h) h, max(x) x from (select query_id, id, 1 d, 0 h, 0 x from st union all select query_id, id, 0, cast(path_type = 'hop' as int), cast(path_type = 'next' as int) from fr) group by query_id, id),
+g as (select query_id, count(*) filter (where h = 1 and d = 0) hd, count(*) filter (where h = 1 and d = 0 and id % 7 = query_id % 7) rel, count(*) filter (where h = 1 and d = 0 and x = 1) ov, max(d = 1 and id % 7 = query_id % 7) dr from n group by query_id)
+select query_id, hd as hop_destinations, round(case when hd > 0 then rel / hd end, 6) as hop_relevance, case when rel > 0 and not dr then 1.0 else 0.0 end as added_coverage, 0.0 as retained_coverage, round(case when hd > 0 then ov / hd end, 6) as next_overlap from g""")
 def link_usefulness(spark: SparkSession, sf: str) -> DataFrame:
+    """The starts are what was selected; a passage holds a query's one unit if both have the same remainder by seven."""
     c, nxt, hop = edges(spark, sf)
-    s = starts(spark, sf).withColumn("query_id", F.col("query_id").cast("string"))
+    s = starts(spark, sf)
     fr = graph.frontier(s, nxt, hop)
     nodes = s.select("query_id", F.lit("direct").alias("role"), "id").unionByName(fr.select("query_id", F.col("path_type").alias("role"), "id")).unionByName(s.select("query_id", F.lit("selected").alias("role"), "id"))
-    hits = c.select("id", (F.col("id") % 7).alias("unit")).join(s.select("query_id").distinct().withColumn("unit", F.crc32("query_id") % 7), "unit").select("query_id", "id", "unit")
-    return metrics.link_usefulness(nodes, hits, s.select("query_id").distinct().withColumn("units", F.lit(1)))
+    q = s.select("query_id").distinct()
+    hits = c.select("id", (F.col("id") % 7).alias("unit")).join(q.withColumn("unit", F.col("query_id") % 7), "unit").select("query_id", "id", "unit")
+    u = metrics.link_usefulness(nodes, hits, q.withColumn("units", F.lit(1)))
+    return _round(u, "hop_relevance", "next_overlap").withColumns({x: F.col(x).cast("double") for x in ("added_coverage", "retained_coverage")})
 
 
 @register("mask_coverage", f"with {_UNITS} k as (select query_id, count(distinct unit) n from hits join gp using (query_id, id) group by query_id) select query_id, 'graph' as arm, n as covered from k")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strandloom.functions.vectors import rank_within
 from strandloom.operators import coverage, fulltext, graph, providers, reports, retrieval, stats, store
 from strandloom.plans.catalogue import register
-from strandloom.session import table
+from strandloom.plans.q_index import WS
+from strandloom.session import materialize, table
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,10 +214,21 @@ def hashed_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("record_id", F.posexplode("embedding").alias("bucket", "value")).where("value > 0").withColumn("value", F.round("value", 6))
 
 
-@register("offline_questions")
+_IDENT = rf"trim(regexp_replace(replace(lower(x), 'ß', 'ss'), '{WS}+', ' ', 'g'))"
+
+
+@register("offline_questions", rf"""
+with c as (select record_id, source, list_filter(string_split(regexp_replace(text, '([.!?]){WS}+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') s0 from chunks where trim(text) <> ''),
+d as (select record_id, source, list_filter(s0, lambda x, i: list_position(s0, x) = i) s from c),
+q as (select record_id, source, 'q_minus' channel, unnest(range(0, least(3, len(s)))) o, 1 f, s from d union all select record_id, source, 'q_plus', unnest(range(0, least(3, len(s)))), greatest(len(s) - 2, 1), s from d),
+t as (select record_id, source, channel, o, s[f + o] x from q), i as (select *, {_IDENT} ident from t),
+k as (select * from (select *, row_number() over (partition by record_id, channel, ident order by o) n from i where ident <> '') where n = 1),
+r as (select * from k where channel = 'q_minus' or (record_id, ident) not in (select record_id, ident from k where channel = 'q_minus'))
+select record_id as chunk_id, source, channel, cast(row_number() over (partition by record_id, channel order by o) - 1 as integer) as ordinal, md5(x) as text_md5 from r""")
 def offline_questions(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "chunks").where("trim(text) <> ''").select(F.col("record_id").alias("id"), "source", "text")
-    return providers.deduped_questions(providers.sentence_questions(c))
+    q = providers.deduped_questions(providers.sentence_questions(c))
+    return q.select("chunk_id", "source", "channel", "ordinal", F.md5("text").alias("text_md5"))
 
 
 @register("coupled_sample", f"""
@@ -234,11 +246,9 @@ def coupled_sample(spark: SparkSession, sf: str) -> DataFrame:
 with {_CAND} {_RANKS}, o as (select query_id, id, f, lag(f) over (partition by query_id order by f desc, coalesce(fin, 0) desc, id desc) b from fu)
 select count(*) as violations from o where f > b""")
 def monotonic_scores(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    f = retrieval.rank_fusion(candidates(spark, sf), None)
-    before = F.lag("rank_fusion_score").over(W.partitionBy("query_id").orderBy("rank"))
-    return f.withColumn("before", before).where("rank_fusion_score > before").agg(F.count(F.lit(1)).alias("violations"))
+    f = materialize(retrieval.rank_fusion(candidates(spark, sf), None).select("query_id", "rank", "rank_fusion_score"), "fused")
+    before = f.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("rank_fusion_score").alias("before"))
+    return f.join(before, ["query_id", "rank"]).where("rank_fusion_score > before").agg(F.count(F.lit(1)).alias("violations"))
 
 
 @register("bridge_min", """
