@@ -65,6 +65,18 @@ def channel_combinations(candidates: DataFrame) -> DataFrame:
     return names.join(n, "combination", "left").select("combination", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def channel_retention(candidates: DataFrame, kept: DataFrame) -> DataFrame:
+    """(combination, n, retained): candidates by the set of channels that found them, and how many of them were kept in the end.
+
+    ``candidates``: query_id, id, channel; ``kept``: query_id, id. Repeated rows count once; unseen combinations count zero.
+    """
+    per = candidates.where(F.col("channel").isin("body", "q_minus", "q_plus")).groupBy("query_id", "id").agg(F.array_join(F.sort_array(F.collect_set("channel")), "+").alias("combination"))
+    j = per.join(kept.select("query_id", "id", F.lit(1).alias("__kept")).distinct(), ["query_id", "id"], "left")
+    n = j.groupBy("combination").agg(F.count(F.lit(1)).alias("n"), F.count("__kept").alias("retained"))
+    names = candidates.sparkSession.createDataFrame([(c,) for c in COMBINATIONS], "combination string")
+    return names.join(n, "combination", "left").na.fill(0, ["n", "retained"])
+
+
 def curves(graph: DataFrame, direct: DataFrame, hits: DataFrame, gold: DataFrame, fractions: DataFrame) -> DataFrame:
     """(fraction, mean graph and direct recall, graph units that the direct prefix lacks) over the queries of ``gold``."""
     g = prefix(graph, fractions).join(hits, ["query_id", "id"]).select("fraction", "query_id", "unit").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.operators import budget, graph, official, retrieval
+from strandloom.operators import budget, coverage, graph, official, retrieval
 from strandloom.operators.budget import quarter_counter
 from strandloom.plans.catalogue import register
 from strandloom.plans.q_evaluation import _HIT, _KEYS, _RESP, _UNITS, _round, arm, gold, pools, responses, retrieved
@@ -344,3 +344,14 @@ def fusion_controls(spark: SparkSession, sf: str) -> DataFrame:
     c = parts[0].unionByName(parts[1]).unionByName(parts[2])
     r = rank_within(c, ["offset_", "query_id"], [F.col("score").desc(), F.coalesce("final_score", F.lit(0.0)).desc(), F.col("id").desc()], 12)
     return r.select("offset_", "query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@register("channel_retention", f"""
+with {_CAND} {_RANKS}, t as (select query_id, id from (select query_id, id, row_number() over (partition by query_id order by f desc, coalesce(fin, 0) desc, id desc) r from fu) where r <= 12),
+g as (select query_id, id, array_to_string(list_sort(list_distinct(list(channel))), '+') combination from real where channel in ('body', 'q_minus', 'q_plus') group by query_id, id),
+n as (select combination, count(*) n, count(*) filter (where (query_id, id) in (select query_id, id from t)) k from g group by combination)
+select x as combination, coalesce(n, 0) as n, coalesce(k, 0) as retained from unnest({list(coverage.COMBINATIONS)!r}) u(x) left join n on n.combination = x""")
+def channel_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """What each set of channels found, and how much of it is among the twelve of the fused order."""
+    c = table(spark, sf, "retrieval_candidates").where("query_id is not null and trim(id) <> ''")
+    return coverage.channel_retention(c.select("query_id", "id", F.coalesce("channel", F.lit("body")).alias("channel")), retrieval.rank_fusion(candidates(spark, sf)))

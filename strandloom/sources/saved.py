@@ -80,7 +80,7 @@ def reader_inputs(spark: SparkSession, path: str) -> DataFrame:
     r = spark.read.schema(READER_INPUT).json(path).withColumn("ord", F.monotonically_increasing_id())
     first = r.groupBy("dataset", "method").agg(F.min("ord").alias("first"))  # a handful of groups
     first = first.withColumn("group_no", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("first")) - 1).drop("first")
-    return r.join(F.broadcast(first), ["dataset", "method"])
+    return r.join(first, ["dataset", "method"])
 
 
 def archived_samples(spark: SparkSession, path: str, name: str = "samples") -> DataFrame:

@@ -167,6 +167,14 @@ def test_store_of_runs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "i/edge_hop")).count() == 0
 
 
+def test_channel_retention(spark):
+    from strandloom.operators import coverage
+
+    c = spark.createDataFrame([("q", 1, "body"), ("q", 1, "q_plus"), ("q", 1, "body"), ("q", 2, "body"), ("q", 3, None)], "query_id string, id long, channel string")
+    got = {r.combination: (r.n, r.retained) for r in coverage.channel_retention(c, c.where("id = 1")).collect()}
+    assert got["body+q_plus"] == (1, 1) and got["body"] == (1, 0) and got["q_minus"] == (0, 0) and len(got) == 7
+
+
 def test_saved_inputs(spark, tmp_path):
     assert saved.sampled_names(["c", "a", "b"], 2) == saved.sampled_names(["a", "b", "c"], 2)
     (tmp_path / "corpus_manifest.json").write_text('{"corpus": "x", "documents": 2, "files": [{"name": "a", "sha256": "1"}, {"name": "b", "sha256": "2"}]}')
